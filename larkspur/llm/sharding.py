@@ -25,6 +25,8 @@ from larkspur.llm.common import written
 SHARDS, OVERHEAD = 24, 8
 #: Groups of one class beyond which its ranks are counted in buckets, and the buckets of a class or shard.
 RANK_ROWS, BUCKETS = 16_384, 1024
+#: Rows of the schedule, 28 bytes each, up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def size_class(size: Column) -> Column:
@@ -82,17 +84,17 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     """id_col, size, text_crc32, shard and slot for each row."""
     text = F.col(text_col).cast("string")
     binary = F.coalesce(text.cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(binary) + OVERHEAD).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"), F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"")).alias("grp"))
-    rows = written(rows, "sizes")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(binary) + OVERHEAD).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"), F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"")).alias("grp"), F.monotonically_increasing_id().alias("uid"))
+    rows = written(rows, "sizes")  # uid is fixed from here on
     groups = rows.groupBy("grp").agg(F.sum("size").alias("total")).withColumn("cls", size_class(F.col("total")))
     groups = written(groups, "groups")
     classes = [(r.cls, r.n, r.b) for r in groups.groupBy("cls").agg(F.count("*").alias("n"), F.sum("total").alias("b")).collect()]
     runs = schedule(classes, shards)
     table = docs.sparkSession.createDataFrame(runs, "c long, first long, after long, shard int")
     placed = ranked(groups, "cls", [F.col("grp")], "rank")
-    # The table is as bounded as the classes are, a row for each shard and class at most; Spark decides from its size whether to broadcast it.
+    table = F.broadcast(table) if len(runs) <= BROADCAST_ROWS else table
     placed = placed.join(table, (F.col("cls") == F.col("c")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))).select("grp", "shard")
     placed = written(placed, "placed")
-    dealt = written(rows.join(placed, "grp").select("id", "size", "text_crc32", "shard"), "dealt")
-    out = ranked(dealt, "shard", [F.col("id"), F.col("text_crc32"), F.col("size")], "slot")
+    dealt = written(rows.join(placed, "grp").select("id", "size", "text_crc32", "shard", "uid"), "dealt")
+    out = ranked(dealt, "shard", [F.col("uid")], "slot")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
