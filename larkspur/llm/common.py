@@ -98,3 +98,11 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of values from each start to the next."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[starts[1:]] - total[starts[:-1]]
+
+
+def sampled(rows: DataFrame, y, n: int) -> list[bytes]:
+    """Of rows (t, y), the n distinct texts of class y with the least hashes, whole. Hashes are chosen first, so few texts move."""
+    own = rows.where((F.col("y") == y) & F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
+    least = own.select("h").distinct().orderBy("h").limit(n)
+    got = own.join(F.broadcast(least), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
+    return [r.t.encode() for r in got]
