@@ -1,11 +1,61 @@
-"""From raw documents to encoded training text, in stages."""
+"""From raw documents to encoded training text, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns what the next one works on. All but the last
+return the columns of documents: documents without a recognised language go, one document of each
+group of near copies stays (the one with the least id), documents that hold a benchmark item go,
+secrets are masked in the text. The last encodes the texts, and returns doc_id, n_tokens and the
+digests of the ids and of what they decode to.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import byte_bpe, decontamination, language_id, secret_scan, simhash_dedup
+from larkspur.llm.common import fresh_path
+from larkspur.llm.queries import RANKS
+
+#: The stages hold models and near-duplicate groups, which SQL does not express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.recognised(docs, language_id.trained(docs, F.lit(True)))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.deduplicated(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redacted(docs, secret_scan.trained(secret_scan.seed_findings(spark)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = byte_bpe.encoded(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("secret_scan", mask_secrets),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

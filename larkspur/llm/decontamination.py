@@ -5,9 +5,10 @@ the largest impact of each block. Impacts are divided by the item's score agains
 threshold means the same share of any item's weight. Passages are overlapping windows of a text,
 wide enough that an item lies whole in one of them.
 
-Retrieval returns every item at or above the threshold, by block-max WAND: a passage whose terms'
-largest impacts cannot reach the threshold is left at once (an upper bound from running sums, first
-with repeats, then over distinct terms); otherwise term cursors advance to the pivot, the first item
+Retrieval returns every item at or above the threshold, by block-max WAND. Upper bounds come first,
+for many passages at a time: for each block of items, the sum of its largest impacts of the passage's
+terms (terms of very many blocks count with their largest impact of all). Where no block can reach
+the threshold, the passage is left. Otherwise term cursors advance to the pivot, the first item
 that could reach it, and skip blocks whose largest impacts cannot. A retrieved item counts when the
 text around the passage holds enough of the 5-word shingles of its question (all but the last
 sentence) and of its answer (the last sentence; an item of one sentence is both).
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,7 +40,9 @@ from larkspur.llm.common import Ids, as_bytes, blocks, bounded_batches, numbered
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, SHINGLE = 0.7, 0.8, 0.5, 5
-WINDOW, BLOCK = 128, 32
+WINDOW, BLOCK = 128, 4
+#: Blocks beyond which a term counts as common, and bounds held at once.
+COMMON, CELLS = 24, 1 << 20
 INDEX_BYTES, MEMO = 16 << 20, 1_000_000
 NOT_WORD, SENTENCE = re.compile(r"[\W_]+"), re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -57,6 +61,12 @@ def shingles(ids: list[int]) -> set[tuple[int, ...]]:
     return {tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)} if n else set()
 
 
+def ramp(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after another."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+
+
 @dataclass
 class Index:
     """Of items (id, text); items without a term are left out."""
@@ -65,10 +75,14 @@ class Index:
     questions: list[set] = field(default_factory=list)
     answers: list[set] = field(default_factory=list)
     terms: dict[str, int] = field(default_factory=dict)
-    postings: list[np.ndarray] = field(default_factory=list)  # positions of items, ascending
-    impacts: list[np.ndarray] = field(default_factory=list)
+    postings: list[list[int]] = field(default_factory=list)  # positions of items, ascending
+    impacts: list[list[float]] = field(default_factory=list)
     block_max: list[list[float]] = field(default_factory=list)
     most: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    common: np.ndarray = field(default_factory=lambda: np.zeros(1))  # largest impact of common terms, 0 for others
+    offsets: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  # of the other terms' blocks
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(0))
     longest: int = 0
 
 
@@ -94,16 +108,25 @@ def build(rows: list[tuple[int, str]]) -> Index:
             found.setdefault(t, []).append((d, w / own))
     index.terms, index.longest = dict(ids), max(sizes, default=0)
     for t in range(len(ids)):
-        index.postings.append(np.array([d for d, _ in found[t]]))
-        index.impacts.append(np.array([w for _, w in found[t]]))
-        index.block_max.append([float(index.impacts[t][a : a + BLOCK].max()) for a in range(0, len(found[t]), BLOCK)])
-    index.most = np.array([*(float(i.max()) for i in index.impacts), 0.0])  # the last is for words that no item has
+        index.postings.append([d for d, _ in found[t]])
+        index.impacts.append([w for _, w in found[t]])
+        index.block_max.append([max(index.impacts[t][a : a + BLOCK]) for a in range(0, len(found[t]), BLOCK)])
+    by_block = [{} for _ in range(len(ids) + 1)]
+    for t, own in found.items():
+        for d, w in own:
+            by_block[t][d // BLOCK] = max(w, by_block[t].get(d // BLOCK, 0.0))
+    index.common = np.array([max(x.values()) if len(x) > COMMON else 0.0 for x in by_block])
+    rest = [x if len(x) <= COMMON else {} for x in by_block]
+    index.offsets = np.concatenate([[0], np.cumsum([len(x) for x in rest])]).astype(np.int64)
+    index.blocks = np.array([b for x in rest for b in x], np.int64)
+    index.bounds = np.array([w for x in rest for w in x.values()])
+    index.most = np.array([*(max(i) for i in index.impacts), 0.0])  # the last is for words that no item has
     return index
 
 
 def retrieve(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
     """All items whose impacts for the distinct terms of query add up to the threshold: (position, score)."""
-    lists = [[index.postings[t], index.impacts[t], index.block_max[t], 0, float(index.most[t])] for t in query]
+    lists = [[index.postings[t], index.impacts[t], index.block_max[t], 0, most] for t, most in zip(query, index.most[query].tolist(), strict=True)]
     found, limit = [], threshold - 1e-9
     while lists:
         lists.sort(key=lambda c: c[0][c[3]])
@@ -120,26 +143,26 @@ def retrieve(index: Index, query: list[int], threshold: float) -> list[tuple[int
             pivot += 1
         block_bound, skip_to = 0.0, None
         for c in lists[: pivot + 1]:  # the blocks that would hold the pivot item
-            at = c[3] + int(np.searchsorted(c[0][c[3] :], item))
+            at = bisect_left(c[0], item, c[3])
             if at < len(c[0]):
                 block_bound += c[2][at // BLOCK]
-                end = int(c[0][min(len(c[0]), (at // BLOCK + 1) * BLOCK) - 1]) + 1
+                end = c[0][min(len(c[0]), (at // BLOCK + 1) * BLOCK) - 1] + 1
                 skip_to = end if skip_to is None else min(skip_to, end)
         if block_bound < limit:
             if pivot + 1 < len(lists):
-                skip_to = min(skip_to, int(lists[pivot + 1][0][lists[pivot + 1][3]]))
-            target = max(skip_to, int(item) + 1)
+                skip_to = min(skip_to, lists[pivot + 1][0][lists[pivot + 1][3]])
+            target = max(skip_to, item + 1)
             for c in lists[: pivot + 1]:
-                c[3] += int(np.searchsorted(c[0][c[3] :], target))
+                c[3] = bisect_left(c[0], target, c[3])
         elif lists[0][0][lists[0][3]] == item:
-            score = sum(float(c[1][c[3]]) for c in lists[: pivot + 1])
+            score = sum(c[1][c[3]] for c in lists[: pivot + 1])
             if score >= limit:
-                found.append((int(item), score))
+                found.append((item, score))
             for c in lists[: pivot + 1]:
                 c[3] += 1
         else:
             for c in lists[: pivot + 1]:
-                c[3] += int(np.searchsorted(c[0][c[3] :], item))
+                c[3] = bisect_left(c[0], item, c[3])
         lists = [c for c in lists if c[3] < len(c[0])]
     return found
 
@@ -156,6 +179,25 @@ class Matcher:
     def forget(self) -> None:
         self.words, self.term_of = Ids(), []
 
+    def bound(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each passage ids[first:last] (both ascending), no less than its best item's score."""
+        index, out = self.index, np.zeros(len(first))
+        width, words = -(-len(index.items) // BLOCK), len(index.terms) + 1
+        n, step = np.diff(index.offsets), max(1, CELLS // -(-len(index.items) // BLOCK))
+        for at in range(0, len(first), step):
+            a, b = first[at : at + step], last[at : at + step]
+            pos = np.arange(a[0], b[-1])
+            pos = pos[ids[pos] < words - 1]
+            low = np.searchsorted(b, pos, "right")  # the first passage that holds a position, and how many do
+            times = np.searchsorted(a, pos, "right") - low
+            pair = np.unique((np.repeat(low, times) + ramp(times)) * words + np.repeat(ids[pos], times))
+            passage, t = pair // words, pair % words
+            entry = np.repeat(index.offsets[t], n[t]) + ramp(n[t])
+            cell = np.repeat(passage, n[t]) * width + index.blocks[entry]
+            best = np.bincount(cell, weights=index.bounds[entry], minlength=len(a) * width).reshape(len(a), width).max(axis=1)
+            out[at : at + step] = best + np.bincount(passage, weights=index.common[t], minlength=len(a))
+        return out
+
     def __call__(self, texts: list[bytes]) -> list[dict[int, tuple[int, float, float, float]]]:
         """For each text: item position to passage, score, question and answer overlap."""
         if len(self.words) > MEMO:
@@ -172,18 +214,15 @@ class Matcher:
         real = ids >= 0
         starts = np.concatenate([[0], np.cumsum(real)])[starts]
         ids = ids[real]
-        total = np.concatenate([[0.0], np.cumsum(self.index.most[ids])])
         n = np.diff(starts)
         windows = np.where(n > 0, np.maximum(0, -(-(n - self.window) // self.step)) + 1, 0)
         text = np.repeat(np.arange(len(texts)), windows)
         number = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
         first = starts[:-1][text] + number * self.step
         last = np.minimum(first + self.window, starts[1:][text])
-        for w in np.flatnonzero(total[last] - total[first] >= self.threshold - 1e-6):
+        for w in np.flatnonzero(self.bound(ids, first, last) >= self.threshold - 1e-6):
             query = np.unique(ids[first[w] : last[w]])
             query = query[query < unknown]
-            if self.index.most[query].sum() < self.threshold - 1e-6:
-                continue
             for item, score in retrieve(self.index, query.tolist(), self.threshold):
                 t = int(text[w])
                 near = ids[max(starts[t], first[w] - self.index.longest) : min(starts[t + 1], last[w] + self.index.longest)].tolist()

@@ -179,3 +179,16 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def recognised(docs: DataFrame, model: Model, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose text has a language at no less than least_score."""
+    bounded_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col, BLOCK):
+            lang, score = model.predict([t or "" for t in block.column(text_col).to_pylist()])
+            good = pa.array([a != UNDETERMINED and b >= least_score for a, b in zip(lang, score, strict=True)], pa.bool_())
+            yield from block.filter(good).to_batches()
+
+    return docs.mapInArrow(keep, docs.schema)

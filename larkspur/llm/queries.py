@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import byte_bpe, language_id, lm_scoring, quality_rules, sharding, simhash_dedup, token_counts, toxicity
+from larkspur.llm import byte_bpe, decontamination, language_id, lm_scoring, quality_rules, secret_scan, sharding, simhash_dedup, token_counts, toxicity
 from larkspur.llm.common import documents, remainder
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_verdicts(documents(spark, sf_dir), labels(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
@@ -58,5 +62,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "offending")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_simhash_dedup, op8_lm_scoring, op9_toxicity)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.findings(documents(spark, sf_dir), secret_scan.trained(secret_scan.seed_findings(spark)))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_decontamination, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_simhash_dedup, op8_lm_scoring, op9_toxicity, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
