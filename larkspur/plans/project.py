@@ -1,7 +1,7 @@
 """Projects: named datasets, versions of their curation, and the reports made of them.
 
 A project is a folder: ``catalog.json`` lists datasets, each with its source table and
-``version<N>/config<M>`` folders whose ``_meta.json`` says what they were made with. Each step skips
+``version<N>/config<M>`` folders whose ``meta.json`` says what they were made with. Each step skips
 what exists.
 """
 
@@ -25,11 +25,11 @@ class Folder:
         self.spark, self.path = spark, path.rstrip("/")
 
     def meta(self) -> dict:
-        at = f"{self.path}/_meta.json"
+        at = f"{self.path}/meta.json"
         return files.get_json(self.spark, at) if files.exists(self.spark, at) else {}
 
     def put_meta(self, meta: dict) -> None:
-        files.put_json(self.spark, f"{self.path}/_meta.json", meta)
+        files.put_json(self.spark, f"{self.path}/meta.json", meta)
 
     def numbers(self, kind: str) -> list[int]:
         children = self.meta().get("children", {}).get(kind, [])
