@@ -6,12 +6,10 @@ the order is finished, group its priority, x its price.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import dist, naming
+from larkspur.functions import naming
 from larkspur.operators import curate, cutpoint, describe, normality, plotdata, profile, relational, survival, tables
 
 QUERIES: dict = {}
@@ -474,3 +472,65 @@ def hist_bins(spark, sf_dir):
 @query()
 def qq_points(spark, sf_dir):
     return rounded(plotdata.qq_points(table(spark, sf_dir, "customer"), "c_acctbal", 100))
+
+
+@query("""WITH s AS (SELECT CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem), f AS (SELECT quantile_cont(v, 0.25) - 0.2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS low, quantile_cont(v, 0.75) + 0.2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS high FROM s) SELECT 'l_extendedprice' AS name, round(v, 2) AS v, count(*) AS c FROM s, f WHERE v < low OR v > high GROUP BY v""")
+def outlier_values_price(spark, sf_dir):
+    return rounded(normality.outlier_values(table(spark, sf_dir, "lineitem"), ["l_extendedprice"], "iqr", 0.2), 2)
+
+
+@query(f"WITH {curve_sql()} SELECT 0.0::DOUBLE AS time, 1.0::DOUBLE AS s, 1.0::DOUBLE AS ci_low, 1.0::DOUBLE AS ci_high UNION ALL SELECT time, round(s, 6), round(ci_low, 6), round(ci_high, 6) FROM curve")
+def km_steps(spark, sf_dir):
+    return rounded(plotdata.km_steps(survival.km_curve(survival.event_table(cohort(spark, sf_dir)))))
+
+
+@query(f"""WITH {COHORT} SELECT CASE WHEN x <= 150000 THEN '<=150000.00' ELSE '>150000.00' END AS "group", count(*) AS n, CAST(sum(event) AS BIGINT) AS events, CAST(count(*) - sum(event) AS BIGINT) AS censored, max(time) AS max_time FROM c GROUP BY 1""")
+def binarised_counts(spark, sf_dir):
+    return survival.group_counts(cutpoint.at_cutoff(cohort(spark, sf_dir), "x", 150000.0))
+
+
+@query("""SELECT CAST(o_orderkey AS DOUBLE) AS time, o_orderstatus = 'F' AS event FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+def coerced_events(spark, sf_dir):
+    coded = F.when(F.col("o_orderstatus") == "F", "1.0").when(F.col("o_orderstatus") == "O", "0").otherwise("unknown")
+    return survival.survival_frame(table(spark, sf_dir, "orders").select("o_orderkey", coded.alias("code")), "o_orderkey", "code", lenient=True)
+
+
+@query("""SELECT o_orderpriority, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS finished, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS open FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1""")
+def aligned_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return relational.aligned({n: o.where(F.col("o_orderstatus") == s).groupBy("o_orderpriority").agg(F.count("*").alias("n")) for n, s in (("finished", "F"), ("open", "O"))}, "o_orderpriority", "n")
+
+
+@query("""SELECT o_orderkey AS "key", o_custkey AS "customer.id", o_totalprice AS "customer.spent.total" FROM orders""")
+def flattened_orders(spark, sf_dir):
+    nested = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.struct(F.col("o_custkey").alias("id"), F.struct(F.col("o_totalprice").alias("total")).alias("spent")).alias("customer"))
+    return relational.flattened(nested)
+
+
+@query()
+def catalogue_blocks(spark, sf_dir):
+    return profile.catalogue_blocks(datatype_map_long(spark, sf_dir))
+
+
+@query()
+def curated_profiles_customer(spark, sf_dir):
+    edits = spark.createDataFrame([("c_name", True, None, None), ("c_mktsegment", None, "segment", None), ("c_nationkey", None, None, naming.CATEGORICAL)], curate.COL_EDITS)
+    return curate.curated_profiles(profile.column_profiles(table(spark, sf_dir, "customer")), curate.column_edits(edits)).drop("tokens")
+
+
+@query()
+def selected_summaries(spark, sf_dir):
+    frames = [describe.numerical_summary(table(spark, sf_dir, t).select(*c)).select(F.lit(t).alias("dataset_name"), "name", "n", "mean") for t, c in NUMBERS.items()]
+    config = spark.createDataFrame([("a", "lineitem", " l_tax "), ("a", "customer", "c_acctbal"), ("b", "customer", ""), ("b", "customer", "c_nationkey")], "uid string, dataset_name string, column_name string")
+    return rounded(tables.selected_summaries(config, frames[0].unionByName(frames[1])))
+
+
+@query()
+def scan_curves(spark, sf_dir):
+    return rounded(plotdata.scan_curves(_scan(spark, sf_dir)[1]))
+
+
+@query()
+def capped_medians(spark, sf_dir):
+    curve = survival.km_curve(survival.event_table(cohort(spark, sf_dir), ["group"]), ["group"])
+    return plotdata.capped_medians(survival.medians(curve, ["group"]))
