@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,15 +83,13 @@ class Ids(defaultdict):
         self.default_factory = self.__len__
 
 
-def numbered(parts: list[list], ids: Ids | None = None) -> tuple[np.ndarray, np.ndarray, Ids]:
+def numbered(parts: Iterable[list], ids: Ids | None = None) -> tuple[np.ndarray, np.ndarray, Ids]:
     """All parts' items as one array of numbers, where each part starts (and the end), and the numbering."""
     ids = Ids() if ids is None else ids
-    starts = np.zeros(len(parts) + 1, np.int64)
-    starts[1:] = np.cumsum([len(p) for p in parts]) if parts else []
-    out = np.empty(starts[-1], np.int64)
-    for p, a, b in zip(parts, starts[:-1], starts[1:], strict=True):
-        out[a:b] = np.fromiter(map(ids.__getitem__, p), np.int64, len(p))
-    return out, starts, ids
+    own = [np.fromiter(map(ids.__getitem__, p), np.int64, len(p)) for p in parts]
+    starts = np.zeros(len(own) + 1, np.int64)
+    np.cumsum([len(p) for p in own], out=starts[1:])
+    return np.concatenate([np.empty(0, np.int64), *own]), starts, ids
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -100,9 +98,11 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def sampled(rows: DataFrame, y, n: int) -> list[bytes]:
-    """Of rows (t, y), the n distinct texts of class y with the least hashes, whole. Hashes are chosen first, so few texts move."""
-    own = rows.where((F.col("y") == y) & F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
-    least = own.select("h").distinct().orderBy("h").limit(n)
-    got = own.join(F.broadcast(least), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
+def sampled(texts: DataFrame, classes: DataFrame, y, n: int) -> list[bytes]:
+    """Of texts (id, t), the n distinct ones with the least hashes whose ids classes (id, y) have in class y, whole.
+
+    Ids and hashes alone meet the classes; then the hashes chosen, of bounded number, pick the texts."""
+    hashed = texts.where("t is not null").withColumn("h", F.xxhash64("t"))
+    least = hashed.select("id", "h").join(classes.where(F.col("y") == y).select("id"), "id", "left_semi").select("h").distinct().orderBy("h").limit(n)
+    got = hashed.select("h", "t").join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
     return [r.t.encode() for r in got]

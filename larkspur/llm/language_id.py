@@ -164,8 +164,9 @@ def fit(texts: dict[str, list[bytes]]) -> Model:
 
 def trained(docs: DataFrame, training: Column, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES, text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = docs.where(training).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y")).where("t is not null and y is not null")
+    rows = rows.withColumn("id", F.xxhash64("t", "y"))
     codes = [r.y for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most_languages).collect()]
-    return fit({c: sampled(rows, c, sample) for c in codes})
+    return fit({c: sampled(rows.where(F.col("y") == c), rows, c, sample) for c in codes})
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import Ids, as_bytes, blocks, bounded_batches, numbered, sampled
 
-SAMPLE, LEAST_DOCS, LEAST_Z = 1500, 5, 4.5
+SAMPLE, LEAST_DOCS, LEAST_Z = 1000, 5, 4.5
 STEPS, RATE, L2 = 400, 0.5, 1e-5
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -86,7 +86,7 @@ def softplus(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[bytes], toxic: np.ndarray, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> Model:
     if not len(texts) or toxic.all() or not toxic.any():
         return Model({}, -np.inf)
-    ids, starts, seen = numbered([words_of(t) for t in texts])
+    ids, starts, seen = numbered(words_of(t) for t in texts)
     vocabulary, plain_ids = list(seen), Ids()
     own, offsets, _ = numbered([features(w) for w in vocabulary], plain_ids)
     stop = np.fromiter(map(ends, vocabulary), bool, len(vocabulary))[ids]
@@ -134,10 +134,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, least_docs: int = LEAST_DOCS, lea
 
 def trained(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """From the sampled texts for whose rows ``training`` is true; ``sample`` of each class come to the driver."""
-    own = docs.where(training).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("y"))
-    rows = own.join(marked, "__id").select("t", (F.col("y") > 0).alias("y"))
-    clean, toxic = sampled(rows, False, sample), sampled(rows, True, sample)
+    own = docs.where(training).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("y"))
+    clean, toxic = sampled(own, marked, False, sample), sampled(own, marked, True, sample)
     return fit(clean + toxic, np.array([False] * len(clean) + [True] * len(toxic)))
 
 
@@ -160,7 +159,7 @@ class Known:
 
 def sentence_scores(texts: list[bytes], model: Model, known: Known) -> tuple[np.ndarray, ...]:
     """Text, first word and one past the last word, and log-odds of each sentence."""
-    ids, starts, _ = numbered([words_of(t) for t in texts], known.ids)
+    ids, starts, _ = numbered((words_of(t) for t in texts), known.ids)
     known.learn()
     first, text = sentence_starts(np.array(known.stops, bool)[ids], starts)
     if not len(first):
