@@ -3,10 +3,12 @@
 Each rule rejects a text whose statistic exceeds a cut-off. In every stratum (a band of text
 lengths) and for every rule, the labelled holdout's good texts say how often each cut-off of a fixed
 grid would reject a good text; the exact (Clopper-Pearson) upper bound on that rate must stay within
-the rule's share of the risk. The bounds hold for all strata, rules and cut-offs at once: the error
-probability ``delta`` is divided by their number (Bonferroni). A rule takes the lowest cut-off that
-passes and is off in a stratum where none does. Rejections of any rule add up, so each rule has
-``risk`` / number of rules.
+the rule's share of the risk, ``risk`` / number of rules, as rejections of several rules add up. The
+grid is tested from its highest cut-off down to the first that fails (a fixed sequence needs no
+correction); the error probability ``delta`` is divided by the number of rules and strata
+(Bonferroni), so all bounds hold at once. Of the cut-offs that pass, a rule takes the one that
+rejects the largest share of the holdout's bad texts less that of its good ones, the highest on a
+tie; it is off in a stratum where none passes or none rejects a bad text.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null label or a label
 without a document counts for nothing; a document with several labels counts once for each; without
@@ -69,7 +71,7 @@ def repeat_words(ids: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> n
 
 
 def text_stats(texts: list[bytes]) -> dict[str, np.ndarray]:
-    ids, starts, _ = numbered([t.split() for t in texts])
+    ids, starts, _ = numbered(t.split() for t in texts)
     out = {"n_words": np.diff(starts), "n_repeat_words": repeat_words(ids, starts)}
     rest = {k: np.zeros(len(texts), np.int64) for k in ("word_chars", "n_symbols", "n_dup_lines", "n_lines")}
     for i, t in enumerate(texts):
@@ -127,23 +129,38 @@ def stratum():
     return out
 
 
+def chosen(grid: tuple, good: list[int], n_good: int, bad: list[int], n_bad: int, most: int) -> float | None:
+    """The cut-off for counts of good and bad texts beyond each of the grid."""
+    best = None
+    for c, g, b in sorted(zip(grid, good, bad, strict=True), reverse=True):
+        if g > most:
+            break
+        gain = b / max(1, n_bad) - g / max(1, n_good)
+        if b and (best is None or gain > best[0]):
+            best = gain, c
+    return best[1] if best else None
+
+
 def thresholds(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, label_id: str = "doc_id", label_col: str = "quality") -> dict[str, dict[int, float]]:
-    """Cut-off by rule and stratum. Spark counts the good texts beyond each cut-off; a row per stratum comes to the driver."""
-    good = labels.where(F.col(label_col) == 1).select(F.col(label_id).cast("long").alias("__label"))
-    held = stats.join(good, stats.id == good["__label"]).where("not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)")
+    """Cut-off by rule and stratum. Spark counts the texts beyond each cut-off; two rows per stratum come to the driver."""
+    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(label_id).cast("long").alias("__label"), F.col(label_col).alias("__good"))
+    held = stats.join(marked, stats.id == marked["__label"]).where("not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)")
     counts = [F.count("*").alias("n")]
     for rule, (sql, grid) in RULES.items():
         x = F.expr(sql)
         counts.append(F.array(*(F.sum((x > c).cast("long")) for c in grid)).alias(rule))
-    rows = held.groupBy(stratum().alias("s")).agg(*counts).collect()
-    each = delta / (len(STRATA) * sum(len(g) for _, g in RULES.values()))
+    rows = {(r.s, r["__good"]): r for r in held.groupBy(stratum().alias("s"), "__good").agg(*counts).collect()}
+    each = delta / (len(STRATA) * len(RULES))
     out: dict[str, dict[int, float]] = {r: {} for r in RULES}
-    for row in rows:
-        most = allowed(row.n, risk / len(RULES), each)
+    for s in range(len(STRATA)):
+        good, bad = rows.get((s, 1)), rows.get((s, 0))
+        if good is None or bad is None:
+            continue
+        most = allowed(good.n, risk / len(RULES), each)
         for rule, (_, grid) in RULES.items():
-            passing = [c for c, k in zip(grid, row[rule], strict=True) if k <= most]
-            if passing:
-                out[rule][row.s] = passing[0]
+            cut = chosen(grid, good[rule], good.n, bad[rule], bad.n, most)
+            if cut is not None:
+                out[rule][s] = cut
     return out
 
 
