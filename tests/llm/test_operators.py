@@ -1,5 +1,4 @@
 import collections
-import hashlib
 import heapq
 import math
 import random
@@ -210,6 +209,14 @@ def test_exact_bounds():
     assert quality_rules.allowed(10, 0.02, 0.001) == -1
 
 
+def test_chosen_cutoff():
+    grid = (1.0, 2.0, 3.0, 4.0)
+    assert quality_rules.chosen(grid, [50, 2, 0, 0], 1000, [90, 80, 80, 10], 100, 5) == 3.0
+    assert quality_rules.chosen(grid, [3, 2, 0, 0], 1000, [99, 80, 80, 10], 100, 5) == 1.0
+    assert quality_rules.chosen(grid, [9, 9, 9, 9], 1000, [99, 80, 80, 10], 100, 5) is None
+    assert quality_rules.chosen(grid, [0, 0, 0, 0], 1000, [0, 0, 0, 0], 100, 5) is None
+
+
 def test_cutoffs_keep_the_good(spark):
     rng = np.random.default_rng(6)
     rows = [(int(i), 300, 1500, int(s), 0, 0, 10) for i, s in enumerate(rng.integers(0, 20, 20000))] + [(20000 + i, 300, 1500, 900, 0, 0, 10) for i in range(50)]
@@ -222,11 +229,10 @@ def test_cutoffs_keep_the_good(spark):
 
 
 def test_language_id_on_held_out(docs):
-    held = language_id.remainder if hasattr(language_id, "remainder") else None
     model = language_id.trained(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, sample=60)
     got = {r.doc_id: r for r in language_id.identified(docs, model).collect()}
     own = [(r.lang, got[r.doc_id]) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
-    assert held is None and sum(lang == g.lang_pred for lang, g in own) / len(own) > 0.93
+    assert sum(lang == g.lang_pred for lang, g in own) / len(own) > 0.93
     assert all(0 <= g.score <= 1 for _, g in own)
     assert model.predict(["", "12 ²", "☃"])[0] == ["und"] * 3 and model.families == (("de", "en"), ("es", "fr"))
 
@@ -382,19 +388,21 @@ def test_secret_findings(spark, forest):
     assert out[0] == texts[0].replace(digest, secret_scan.MASK) and out[3] == texts[3] and out[2] == "password=[SECRET]."
 
 
-def test_forest_as_columns_matches_spark_ml(spark):
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
+def test_forest_fits_its_findings(spark):
     sample = secret_scan.seed_findings(spark, 20)
     own = secret_scan.features(*(F.col(c) for c in ("candidate", "word", "before2", "before", "after")))
-    rows = VectorAssembler(inputCols=list(own), outputCol="features").transform(sample.select(*(v.alias(k) for k, v in own.items()), "label")).cache()
     forest = secret_scan.trained(sample, trees=6)
-    scored = rows.select("label", forest.score(F.array(*(F.col(k) for k in own))).alias("s")).collect()
+    scored = sample.select("label", F.array(*own.values()).alias("x")).select("label", forest.score(F.col("x")).alias("s")).collect()
     assert sum((r.s >= 0.5) == bool(r.label) for r in scored) / len(scored) > 0.93
-    assert RandomForestClassifier is not None
+
+
+def test_tree_as_column(spark):
+    lines = ["    If (feature 0 <= 1.5)", "     If (feature 1 <= -2.0E-4)", "      Predict: 1.0", "     Else (feature 1 > -2.0E-4)", "      Predict: 0.0", "    Else (feature 0 > 1.5)", "     Predict: 1.0"]
+    forest = secret_scan.Forest([secret_scan.tree_sql(lines)], ["a", "b"])
+    rows = spark.createDataFrame([(1.0, -1.0), (1.0, 0.0), (2.0, 0.0)], "a double, b double")
+    assert [r.s for r in rows.select(forest.score(F.array("a", "b")).alias("s")).collect()] == [1.0, 0.0, 1.0]
 
 
 def test_training_findings_are_fixed(spark):
     a, b = (secret_scan.seed_findings(spark, 3).select(F.sha2(F.concat_ws("|", "candidate", "word", "before"), 256).alias("x")).collect() for _ in range(2))
-    assert sorted(a) == sorted(b) and hashlib.sha256(b"").hexdigest() not in {r.x for r in a}
+    assert sorted(a) == sorted(b)
