@@ -205,7 +205,7 @@ class Matcher:
         out: list[dict] = [{} for _ in texts]
         if not self.index.items:
             return out
-        ids, starts, _ = numbered([t.split() for t in texts], self.words)
+        ids, starts, _ = numbered((t.split() for t in texts), self.words)
         unknown = len(self.index.terms)
         for word in list(self.words)[len(self.term_of) :]:
             own = term(word.decode("utf-8", "replace"))

@@ -133,7 +133,7 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of all texts' tokens, where texts start, and each number's hash."""
-    ids, starts, seen = numbered([[*t.lower().split(), END] for t in texts])
+    ids, starts, seen = numbered([*t.lower().split(), END] for t in texts)
     return ids, starts, np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Ids, blocks, bounded_batches, numbered
+from larkspur.llm.common import blocks, bounded_batches, numbered
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
@@ -127,7 +127,7 @@ def whole(chunk: str) -> str:
 
 
 def count_tokens(texts: list[str], counter: Counter, memo: dict[str, int]) -> np.ndarray:
-    ids, starts, seen = numbered([chunks(t) for t in texts], Ids())
+    ids, starts, seen = numbered(chunks(t) for t in texts)
     each = np.empty(len(seen), np.int64)
     for i, chunk in enumerate(seen):
         n = memo.get(chunk)
