@@ -5,8 +5,8 @@ than letters as spaces. One-versus-rest linear support vector machines choose th
 one-versus-one machines for each pair of languages vote (a tie goes to the larger sum of
 probabilities, then to the first name). A machine is linear in the frequencies, so its margin is the
 mean of one weight per trigram, taken over the whole text. Margins become probabilities by a
-logistic curve fitted to the training margins; the score is that of the family times that of the
-language.
+logistic curve fitted to the training margins; the score is that of the family times the mean of the
+language's against each other one of its family, so a sure language scores 1 in a family of any size.
 
 Training uses a bounded, reproducible sample: for each language the ``sample`` distinct texts with
 the least hashes, whole, and the ``most_languages`` most frequent languages.
@@ -134,7 +134,7 @@ class Model:
                 odds[:, b] += 1 - p[mine, at]
                 at += 1
             best = (votes + odds / (len(languages) + 1)).argmax(axis=1)
-            share = odds[np.arange(len(mine)), best] / odds.sum(axis=1) if len(languages) > 1 else np.ones(len(mine))
+            share = odds[np.arange(len(mine)), best] / (len(languages) - 1) if len(languages) > 1 else np.ones(len(mine))
             for i, b, s in zip(mine, best, share, strict=True):
                 lang[own[i]], score[own[i]] = languages[b], sure[i] * s
         return lang, score

@@ -242,6 +242,19 @@ def test_one_language(spark):
     assert model.predict(["abc", "1"]) == (["xx", "und"], pytest.approx([1.0, 0.0]))
 
 
+def test_large_family_is_recognised(spark):
+    codes, rnd = language_id.FAMILIES["slavic"].split()[:8], random.Random(11)
+    own = {c: ["".join(rnd.choice("bcdfghklmnprstvz") + rnd.choice("aeiou") for _ in range(3)) for _ in range(40)] for c in codes}
+    text = lambda c: " ".join(rnd.choices(own[c], k=60))
+    model = language_id.fit({c: [text(c).encode() for _ in range(20)] for c in codes})
+    assert [len(f) for f in model.families] == [8]
+    test = {i: c for i, c in enumerate(codes * 3)}
+    docs = table(spark, [text(c) for c in test.values()])
+    got = {r.doc_id: r for r in language_id.identified(docs, model).collect()}
+    assert all(got[i].lang_pred == c and 0.8 < got[i].score <= 1 for i, c in test.items())
+    assert {r.doc_id for r in language_id.recognised(docs, model).collect()} == set(test)
+
+
 def test_pretokens_and_merges_match_tiktoken():
     ranks = byte_bpe.load_ranks(RANKS)
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
