@@ -52,8 +52,13 @@ def term(word: str) -> str:
     return NOT_WORD.sub("", word.lower())
 
 
+def spellings(text: str) -> list[str]:
+    """Words of an item or a document: runs of characters other than white space, Unicode's too."""
+    return text.split()
+
+
 def terms(text: str) -> list[str]:
-    return [t for w in text.split() if (t := term(w))]
+    return [t for w in spellings(text) if (t := term(w))]
 
 
 def shingles(ids: list[int]) -> set[tuple[int, ...]]:
@@ -205,10 +210,10 @@ class Matcher:
         out: list[dict] = [{} for _ in texts]
         if not self.index.items:
             return out
-        ids, starts, _ = numbered((t.split() for t in texts), self.words)
+        ids, starts, _ = numbered((spellings(t.decode("utf-8", "replace")) for t in texts), self.words)
         unknown = len(self.index.terms)
         for word in list(self.words)[len(self.term_of) :]:
-            own = term(word.decode("utf-8", "replace"))
+            own = term(word)
             self.term_of.append(self.index.terms.get(own, unknown) if own else -1)
         ids = np.array(self.term_of, np.int64)[ids] if len(ids) else ids
         real = ids >= 0

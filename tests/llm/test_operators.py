@@ -178,6 +178,16 @@ def test_leaks(spark, sf, docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(texts) - {i for i, _ in got}
 
 
+def test_leaks_with_unicode_spaces(spark):
+    item = "Which\u00a0river flows through\u3000the old town of\u2009Regensburg and where\u00a0does it end? It is the\u3000Danube and it\u00a0ends in the Black\u00a0Sea."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    filler = "unrelated filler words go here and there " * 20
+    docs = table(spark, [f"{filler}{item} {filler}", f"{filler}{' '.join(item.split())} {filler}", filler])
+    got = {r.doc_id: r for r in decontamination.contaminations(docs, bench).collect()}
+    assert set(got) == {0, 1} and all(r.question_overlap == r.answer_overlap == 1 for r in got.values())
+    assert [r.doc_id for r in decontamination.decontaminated(docs, bench).collect()] == [2]
+
+
 def test_slices_of_a_large_benchmark(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert sum(len(i.items) for i in decontamination.indexes(bench, most=600)) == bench.count() > len(decontamination.indexes(bench, most=600)) > 3
