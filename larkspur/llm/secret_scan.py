@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Everything that touches documents is made of DataFrame functions. Texts without a candidate are left
-by one pattern match; the others are split into words, and a word that holds a candidate is taken
-with its neighbours. The forest is trained by Spark ML on labelled findings and then written out as
+by one pattern match; the others are split into words, and a word that holds a candidate, or a value
+that the words before it name ("password: x", "password = x"), is taken with its neighbours. The forest is trained by Spark ML on labelled findings and then written out as
 a column expression (nested CASE), so that scoring needs neither a join nor a shuffle: a text's
 candidates stay in its row.
 
@@ -39,7 +39,12 @@ RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za
 NAMES = "pass|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private"
 NAMED = rf"(?i)(?:{NAMES})[a-z_-]{{0,20}}[\"']?[:=][\"']?[^\s\"',;]{{6,}}"
 CANDIDATE = rf"{RUN}|{NAMED}"
+#: The same with white space on either side of the separator: in a text, and as the ends of the words before a value.
+SPACED = rf"(?i)(?:{NAMES})[a-z_-]{{0,20}}[\"']?(?:\s+[:=]+\s*|[:=]+\s+)[\"']?[^\s\"',;]{{6,}}"
+NAME_END, NAME_AND_SIGN, SIGN = rf"(?i)(?:{NAMES})[a-z_-]{{0,20}}[\"']?$", rf"(?i)(?:{NAMES})[a-z_-]{{0,20}}[\"']?[:=]+$", "^[:=]+$"
+ANYWHERE = rf"{CANDIDATE}|{SPACED}"
 VALUE = r"^(?i)[a-z_-]*[\"']?[:=][\"']?(?=[^\s]{6,}$)"
+TAIL = "[.:!?)\\]}>#*$%&|]+$"
 
 # Words that names, paths and prose are made of.
 DICTIONARY = (
@@ -59,6 +64,15 @@ IDENTIFIER_WORDS = "commit|sha|sha1|sha256|md5|checksum|digest|hash|revision|rev
 PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|pk_live_|AIza|SG\.|npm_|pypi-|eyJ)"
 
 
+def has(c: Column, pattern: str) -> Column:
+    return F.coalesce(c.rlike(pattern), F.lit(False))
+
+
+def signed(before2: Column, before: Column) -> Column:
+    """Whether the two words before one end in the name of a secret and a separator."""
+    return has(before, NAME_AND_SIGN) | (has(before, SIGN) & has(before2, NAME_END))
+
+
 def features(c: Column, word: Column, before2: Column, before: Column, after: Column) -> dict[str, Column]:
     """By name; all numbers. c: the candidate, word: the whole word that holds it."""
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
@@ -95,8 +109,8 @@ def features(c: Column, word: Column, before2: Column, before: Column, after: Co
         "extension": word.rlike(r"\.[a-z]{2,4}[\"')]?[.,;:]?$"),
         "groups": word.rlike(r"^\W*[0-9A-Za-z]{2,8}(-[0-9A-Za-z]{2,12}){2,}\W*$"),
         "prefix": c.rlike(PREFIX),
-        "named": F.lower(prefix).rlike(f"({NAMES})[a-z_-]*[\"']?[:=][\"']?$"),
-        "assigned": prefix.rlike("[:=][\"']?$") | F.coalesce(before.rlike("^[:=]+$"), F.lit(False)),
+        "named": F.lower(prefix).rlike(f"({NAMES})[a-z_-]*[\"']?[:=][\"']?$") | (prefix.rlike("^[\"']?$") & signed(before2, before)) | (prefix.rlike("^[:=]+[\"']?$") & has(before, NAME_END)),
+        "assigned": prefix.rlike("[:=][\"']?$") | has(before, SIGN) | has(before, NAME_AND_SIGN),
         "quoted": prefix.rlike("[\"'`]$"),
         "data_uri": word.rlike("(?i)base64,"),
         "secret_words": about(SECRET_WORDS),
@@ -108,7 +122,14 @@ def features(c: Column, word: Column, before2: Column, before: Column, after: Co
 def candidates_of(word: Column) -> Column:
     """Candidates in a word, as an array; what a name introduces is without the name."""
     found = F.regexp_extract_all(word, F.lit(f"({CANDIDATE})"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, VALUE, ""), "[.:!?)\\]}>#*$%&|]+$", "")))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, VALUE, ""), TAIL, "")))
+
+
+def introduced(word: Column, before2: Column, before: Column) -> Column:
+    """The value in a word that the words before it name, as an array of at most one: after a name and its separator, or with the separator in front."""
+    value = F.when(signed(before2, before), F.regexp_extract(word, "^[\"']?([^\\s\"',;]{6,})", 1))
+    value = value.when(has(before, NAME_END), F.regexp_extract(word, "^[:=]+[\"']?([^\\s\"',;]{6,})", 1))
+    return F.filter(F.array(F.regexp_replace(F.coalesce(value, F.lit("")), TAIL, "")), lambda x: x != "")
 
 
 def contexts(text: Column) -> Column:
@@ -116,8 +137,11 @@ def contexts(text: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(text, r"[ \t\n\u000B\f\r]+", " ")), " ")
 
     def around(words: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(CANDIDATE))
-        each = F.transform(at, lambda i: F.transform(candidates_of(F.get(words, i)), lambda c: F.struct(
+        def found(i: Column) -> Column:
+            return F.array_union(candidates_of(F.get(words, i)), introduced(F.get(words, i), F.get(words, i - 2), F.get(words, i - 1)))
+
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(CANDIDATE) | F.get(words, i).rlike("^[:=]") | F.coalesce(F.get(words, i - 1).rlike("[:=]$"), F.lit(False)))
+        each = F.transform(at, lambda i: F.transform(found(i), lambda c: F.struct(
             c.alias("candidate"), F.get(words, i).alias("word"), F.get(words, i - 2).alias("before2"), F.get(words, i - 1).alias("before"), F.get(words, i + 1).alias("after"))))
         return F.flatten(each)
 
@@ -167,6 +191,18 @@ def seed_findings(spark: SparkSession, each: int = EACH) -> DataFrame:
     snake = F.concat_ws("_", word("d1"), word("d2"), word("d3"), number("d4", 3))
     uuid = F.regexp_replace(F.substring(digest("uu"), 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     serial = F.concat(F.upper(F.substring(word("e1"), 1, 3)), F.lit("-"), number("e2", 4), F.lit("-"), number("e3", 6), F.lit("-"), number("e4", 2))
+    # Values that a name and a separator introduce from the words before: short ones and letters alone are secrets, prose, places to fill in, dates and addresses are not.
+    colon, sign = F.concat(name, F.lit(":")), pick("sign", "= :")
+    mark = pick("mark", "! @ # $ % & ? *")
+    short = F.concat(F.initcap(word("p1")), number("p2", 2), mark, alphanumeric("p3", 3))
+    leet = F.concat(F.initcap(F.translate(pick("l1", "monster dragon orange captain winter summer master sailor banana castle"), "aeos", "4305")), mark, alphanumeric("l2", 1), pick("l3", "horse house river cat dog"))
+    tail = F.concat(F.initcap(F.translate(pick("l4", "monster dragon orange captain winter summer master sailor banana castle"), "aeos", "4305")), mark, number("l5", 1))
+    letters24 = F.translate(F.substring(digest("lt"), 1, 24), "0123456789", "ghjkmqtvxz")
+    prose1 = pick("t1", "mandatory optional protected incorrect invalid missing changed unknown disabled Johnson Anderson Petersen Contact Reporter Submitted Management available everything Anmeldung Kennwort obligatoire utilisateur necesaria contrasena")
+    fill_in = pick("t2", "your_password <your-token> ${SECRET_KEY} ******** {{password}} <password> YOUR_API_KEY xxxxxxxx $PASSWORD process.env.TOKEN")
+    day = F.concat(F.lit("20"), number("t3", 2), F.lit("-0"), number("t4", 1), F.lit("-1"), number("t5", 1))
+    mail = F.concat(word("t6"), F.lit("."), word("t7"), F.lit("@"), word("t8"), F.lit(".org"))
+    names = pick("who", "author authors authority password token secret passenger passage auth private")
     sets = [
         row(1, hex40, quoted(hex40), key, F.lit("=")), row(1, hex40, quoted(hex40), key, F.lit(":")), row(1, hex18, F.concat(name, F.lit("="), hex18)),
         row(1, alphanumeric("b", 20), F.concat(name, F.lit("="), alphanumeric("b", 20))), row(1, small, F.concat(name, F.lit(":"), small)), row(1, base64("w", 40), base64("w", 40), key, F.lit("=")),
@@ -177,6 +213,10 @@ def seed_findings(spark: SparkSession, each: int = EACH) -> DataFrame:
         row(0, path, F.concat(F.lit("https://"), word("h1"), F.lit(".org"), path)), row(0, slug, F.concat(F.lit("https://www."), word("h2"), F.lit(".com/"), slug)), row(0, slug), row(0, identifier), row(0, snake),
         row(0, snake, F.concat(snake, F.lit("="), number("v", 3))), row(0, serial, before=pick("r", "order serial sku ref invoice model part")), row(0, serial), row(0, base64("im", 60), F.concat(F.lit("data:image/png;base64,"), base64("im", 60))),
         row(0, F.concat(word("f1"), number("f2", 8), word("f3")), before=F.lit("see")), row(0, slug, F.concat(name, F.lit("="), slug), empty, empty), row(0, identifier, F.concat(name, F.lit("="), identifier)),
+        *(row(1, c, before=colon) for c in (short, leet, tail, small, hex18, letters24)), *(row(1, c, quoted(c), name, sign) for c in (short, leet, tail)), row(1, letters24, before2=name, before=sign),
+        row(1, short, F.concat(F.lit("="), short), before=name), row(1, tail, F.concat(name, sign, tail)),
+        *(row(0, c, before=F.concat(names, F.lit(":"))) for c in (prose1, F.initcap(prose1), day, mail, identifier)), row(0, prose1, before2=names, before=sign), row(0, word("t9"), before=F.concat(names, F.lit(":"))),
+        row(0, fill_in, before=colon), row(0, fill_in, before2=name, before=sign), row(0, prose1, F.concat(names, sign, prose1)),
     ]
     out = sets[0]
     for s in sets[1:]:
@@ -250,12 +290,12 @@ def judged(text: Column, forest: Forest, threshold: float = THRESHOLD) -> Column
         return F.struct(c["candidate"].alias("candidate"), score.alias("score"))
 
     scored = F.filter(F.transform(F.filter(contexts(text), lambda c: F.length(c["candidate"]) >= 6), one), lambda x: x["score"] >= threshold)
-    return F.when(text.rlike(CANDIDATE), scored)
+    return F.when(text.rlike(ANYWHERE), scored)
 
 
 def findings(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, candidate, start (0-based, of the first occurrence), occurrences, score: a row for each accepted candidate of each row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(ANYWHERE))
     each = rows.select("id", "t", F.explode(judged(F.col("t"), forest, threshold)).alias("f"))
     each = each.select("id", F.col("f.candidate").alias("candidate"), (F.instr("t", F.col("f.candidate")) - 1).cast("long").alias("start"), ((F.length("t") - F.length(F.replace("t", F.col("f.candidate"), F.lit("")))) / F.length("f.candidate")).cast("long").alias("occurrences"), F.col("f.score").alias("score"))
     return each.groupBy("id", "candidate", "start", "occurrences").agg(F.max("score").alias("score")).withColumnRenamed("id", id_col)

@@ -411,6 +411,17 @@ def test_secret_findings(spark, forest):
     assert out[0] == texts[0].replace(digest, secret_scan.MASK) and out[3] == texts[3] and out[2] == "password=[SECRET]."
 
 
+def test_secrets_named_by_the_word_before(spark, forest):
+    texts = [
+        "login with password: Tr0ub4dor&3 today", 'password = "S3cr3t!pass"', "set api_key = abcdefghijklmnopqrstuvwx", "db_password =Qw7!kfp2zR9",
+        "Author: Williamson wrote it", "the password: required for all users", "password = forgotten", "a token : something else",
+    ]
+    got = {(r.doc_id, r.candidate) for r in secret_scan.findings(table(spark, texts), forest).collect()}
+    assert got == {(0, "Tr0ub4dor&3"), (1, "S3cr3t!pass"), (2, "abcdefghijklmnopqrstuvwx"), (3, "Qw7!kfp2zR9")}
+    out = {r.doc_id: r.text for r in secret_scan.redacted(table(spark, texts), forest).collect()}
+    assert out[1] == 'password = "[SECRET]"' and out[0] == "login with password: [SECRET] today" and [out[i] for i in range(4, 8)] == texts[4:]
+
+
 def test_forest_fits_its_findings(spark):
     sample = secret_scan.seed_findings(spark, 20)
     own = secret_scan.features(*(F.col(c) for c in ("candidate", "word", "before2", "before", "after")))
