@@ -136,15 +136,32 @@ def shapiro_wilk(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[
     if spread == 0:
         return 1.0, 1.0
     w = min(1.0, float(a @ x) ** 2 / spread)
+    return w, shapiro_p(w, n)
+
+
+def shapiro_wilk_of_sums(n: int, squares: float, cross: float, ends: tuple[float, float, float, float], spread: float) -> tuple[float, float]:
+    """W and p of more than 5 values from sums over all ranks: of the squared normal scores and of score times value. ends: the two least and the two largest values; spread: the sum of squares. Values are deviations from their mean."""
+    if spread == 0:
+        return 1.0, 1.0
+    m1, m2, u = NORMAL.inv_cdf((n - 0.375) / (n + 0.25)), NORMAL.inv_cdf((n - 1.375) / (n + 0.25)), 1 / math.sqrt(n)
+    last = float(np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m1 / math.sqrt(squares)], u))
+    second = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m2 / math.sqrt(squares)], u))
+    phi = (squares - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * second**2)
+    outer, inner = ends[3] - ends[0], ends[2] - ends[1]
+    w = min(1.0, (last * outer + second * inner + (cross - m1 * outer - m2 * inner) / math.sqrt(phi)) ** 2 / spread)
+    return w, shapiro_p(w, n)
+
+
+def shapiro_p(w: float, n: int) -> float:
     if n == 3:
-        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if n <= 11:
         g = -2.273 + 0.459 * n
         if g <= math.log1p(-w) if w < 1 else False:
-            return w, 0.0
+            return 0.0
         y = -math.log(g - math.log1p(-w)) if w < 1 else math.inf
         mean, sd = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
     else:
         y, log_n = math.log1p(-w) if w < 1 else -math.inf, math.log(n)
         mean, sd = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
-    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+    return 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))

@@ -3,8 +3,8 @@
 Moments, ties and outlier counts are aggregates; the statistics that compare ranks with a normal
 curve come from distinct values with running counts. Only a few numbers per column reach the driver,
 where p-values are computed, except for Shapiro-Wilk: it needs the ordered values, which are read as
-distinct values with counts and, beyond ``SHAPIRO_MOST`` observations, as that many evenly spaced
-order statistics (its p-value is flagged as unreliable beyond 5000 anyway).
+distinct values with counts; beyond ``SHAPIRO_MOST`` observations its sums over all ranks are made in
+Spark instead, with the same result (its p-value is flagged as unreliable beyond 5000).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ PURPOSES = {
     "parametric_test": "The usual check before a t-test or an analysis of variance, which tolerate mild departures in large samples.",
     "symmetry_only": "It is made of skewness and kurtosis and so speaks of asymmetry directly.",
 }
-SHAPIRO_RELIABLE, SHAPIRO_MOST, TIES_MOST = 5000, 50_000, 0.10
+SHAPIRO_RELIABLE, SHAPIRO_MOST, RANKS, TIES_MOST = 5000, 50_000, 4096, 0.10
 REPORT = "name string, test string, test_type string, stat double, p double, normal boolean, recommended_sample_size string, p_value_reliable boolean"
 
 
@@ -77,15 +78,31 @@ def rank_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return out.select("name", "n", "ks", a2.alias("a2"))
 
 
-def ordered_values(df: DataFrame, columns: list[str], most: int = SHAPIRO_MOST) -> DataFrame:
-    """name, n, values, counts: each column's order statistics, thinned evenly beyond ``most``. A row per column, of bounded size."""
+def ordered_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, n, values, counts: each column's order statistics. A row per column, for columns of few values."""
     freq = frequencies(df, columns, lambda c: as_number(df, c)).where("v is not null")
-    total = freq.groupBy("name").agg(F.sum("c").alias("n"))
-    rows = running(freq, "name", "v", "c").join(F.broadcast(total), "name")
-    step = F.greatest(F.lit(1.0), F.col("n") / most)
-    kept = F.when(F.col("n") <= most, F.col("c")).otherwise(F.floor(F.col("cum") / step) - F.floor((F.col("cum") - F.col("c")) / step))
-    rows = rows.withColumn("k", kept.cast("long")).where("k > 0")
-    return rows.groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("v", "k"))).alias("x")).select("name", "n", F.col("x.v").alias("values"), F.col("x.k").alias("counts"))
+    return freq.groupBy("name").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("x")).select("name", "n", F.col("x.v").alias("values"), F.col("x.c").alias("counts"))
+
+
+def shapiro_sums(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
+    """name, n, squares, cross, spread, x1, x2, y2, y1: what Shapiro-Wilk needs of all values, as deviations from the mean; x1, x2 are the least and y2, y1 the largest. Ties are cut into at most ``RANKS`` ranks and dealt anew."""
+    freq = frequencies(df, columns, lambda c: as_number(df, c)).where("v is not null")
+    rows = running(freq, "name", "v", "c").join(F.broadcast(stats.select("name", "n", "mean")), "name")
+    rows = rows.select("name", "n", (F.col("v") - F.col("mean")).alias("d"), "cum", F.explode(F.sequence(F.col("cum") - F.col("c"), F.col("cum") - 1, F.lit(RANKS).cast("long"))).alias("first"))
+    rows = rows.select("name", "n", "d", "first", F.least(F.col("first") + RANKS, F.col("cum")).alias("last")).repartition("name", "first")
+
+    def scored(batches):
+        for b in batches:
+            sums = []
+            for n, first, last in zip(*(b.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
+                m = [dist.NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(first + 1, last + 1)]
+                sums.append((math.fsum(m), math.fsum(x * x for x in m)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in sums], pa.float64()), pa.array([x for _, x in sums], pa.float64())], [*b.schema.names, "m", "mm"])
+
+    rows = rows.mapInArrow(scored, "name string, n long, d double, first long, last long, m double, mm double")
+    n, d, first, last = F.col("n"), F.col("d"), F.col("first"), F.col("last")
+    at = lambda k: F.max(F.when((first < k) & (last >= k), d))
+    return rows.groupBy("name", "n").agg(F.sum("mm").alias("squares"), F.sum(F.col("m") * d).alias("cross"), F.sum((last - first) * d * d).alias("spread"), at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"), at(n - 1).alias("y2"), at(n).alias("y1"))
 
 
 def report(df: DataFrame, columns: list[str] | None = None, tests: tuple = TESTS, alpha: float = 0.05) -> DataFrame:
@@ -93,16 +110,23 @@ def report(df: DataFrame, columns: list[str] | None = None, tests: tuple = TESTS
     if unknown := set(tests) - set(TESTS):
         raise ValueError(f"unknown tests: {sorted(unknown)}")
     columns = columns or numeric_columns(df)
-    stats = {r.name: r for r in moments(df, columns).collect()}  # a row per column, here and below
+    known = moments(df, columns)
+    stats = {r.name: r for r in known.collect()}  # a row per column, here and below
     ranks = {r.name: r for r in rank_statistics(df, columns).collect()} if {"ks", "anderson", "lilliefors"} & set(tests) else {}
-    values = {r.name: r for r in ordered_values(df, columns).collect()} if "shapiro" in tests else {}
+    large = [c for c in columns if c in stats and stats[c].n > SHAPIRO_MOST]
+    few = [c for c in columns if c not in large]
+    values = {r.name: r for r in ordered_values(df, few).collect()} if "shapiro" in tests and few else {}
+    summed = {r.name: r for r in shapiro_sums(df, large, known).collect()} if "shapiro" in tests and large else {}
     rows = []
     for c in columns:
         s = stats.get(c)
         fit = s is not None and s.n >= 3 and s.std
         for test in tests:
             stat = p = None
-            if fit and test == "shapiro":
+            if fit and test == "shapiro" and c in summed:
+                x = summed[c]
+                stat, p = dist.shapiro_wilk_of_sums(x.n, x.squares, x.cross, (x.x1, x.x2, x.y2, x.y1), x.spread)
+            elif fit and test == "shapiro":
                 stat, p = dist.shapiro_wilk(np.array(values[c]["values"]), np.array(values[c]["counts"]))
             elif fit and test in ("ks", "lilliefors"):
                 stat = ranks[c].ks

@@ -79,6 +79,18 @@ def test_normality_statistics_against_numpy(spark):
     assert normality.report(spark.createDataFrame([(1.0,), (2.0,)], "x double")).first().p is None
 
 
+def test_shapiro_of_large_columns_uses_all_values(spark):
+    from larkspur.functions import dist
+
+    x = np.round(np.random.default_rng(4).normal(0, 1, 100_000), 3)
+    x[:9000] = 0.5
+    for outlier in (60.0, -60.0):
+        x[-1] = outlier
+        w, p = dist.shapiro_wilk(np.sort(x))
+        got = normality.report(spark.createDataFrame([(float(v),) for v in x], "x double"), tests=("shapiro",)).first()
+        assert got.stat == pytest.approx(w, abs=1e-9) and got.p == pytest.approx(p, abs=1e-9)
+
+
 def test_recommendations():
     assert normality.recommended_tests(10) == ["shapiro", "jb"]
     assert normality.recommended_tests(100) == ["anderson", "dagostino", "lilliefors", "jb"]
