@@ -6,24 +6,34 @@ Words are runs of bytes other than the six ASCII white-space characters, which i
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text that a Python worker holds at once, unless one text alone is longer.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Items of parts that are numbered at once, unless one part alone has more.
+ITEMS_AT_ONCE = 1 << 16
+#: Characters of a plan's text.
+PLAN_TEXT = 100_000
+#: Share of all rows from which a key counts as hot; so at most as many keys as its inverse are.
+HOT_SHARE, HOT_ROWS = 1 / 1000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. A session on this machine alone may do without and gets one of its own; a cluster may not."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,9 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that long texts cannot fill a worker."""
+    """Sets, for the rest of the session, Arrow batches so small that long texts cannot fill a worker, and a bound on the
+    text of plans that the driver keeps for each query (models stand in them as literals).
+
+    They stay set because the operators' results are planned after the operators return."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +98,18 @@ class Ids(defaultdict):
 
 
 def numbered(parts: Iterable[list], ids: Ids | None = None) -> tuple[np.ndarray, np.ndarray, Ids]:
-    """All parts' items as one array of numbers, where each part starts (and the end), and the numbering."""
+    """All parts' items as one array of numbers, where each part starts (and the end), and the numbering. Few parts are held at once."""
     ids = Ids() if ids is None else ids
-    own = [np.fromiter(map(ids.__getitem__, p), np.int64, len(p)) for p in parts]
-    starts = np.zeros(len(own) + 1, np.int64)
-    np.cumsum([len(p) for p in own], out=starts[1:])
-    return np.concatenate([np.empty(0, np.int64), *own]), starts, ids
+    own, sizes, held, n = [np.empty(0, np.int64)], [0], [], 0
+    for p in parts:
+        held.append(p)
+        sizes.append(len(p))
+        n += len(p)
+        if n >= ITEMS_AT_ONCE:
+            own.append(np.fromiter(map(ids.__getitem__, chain.from_iterable(held)), np.int64, n))
+            held, n = [], 0
+    own.append(np.fromiter(map(ids.__getitem__, chain.from_iterable(held)), np.int64, n))
+    return np.concatenate(own), np.cumsum(sizes, dtype=np.int64), ids
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -98,11 +118,26 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def sampled(texts: DataFrame, classes: DataFrame, y, n: int) -> list[bytes]:
-    """Of texts (id, t), the n distinct ones with the least hashes whose ids classes (id, y) have in class y, whole.
+def sampled(keys: DataFrame, texts: DataFrame, n: int, most: int | None = None) -> dict:
+    """Of keys (y, h), for each y the n least distinct h, or as many as keep all classes together within ``most``; and of texts (h, t) the text of each: lists of UTF-8 by y.
+
+    The least hashes are chosen without the texts; being of bounded number, they then pick them."""
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    least = written(keys.where("y is not null and h is not null").distinct().withColumn("k", place).where(F.col("k") <= n), "sample")
+    if most:
+        n = max(1, min(n, most // max(1, least.select("y").distinct().count())))
+    least = least.where(F.col("k") <= n)
+    text = {r.h: r.t.encode() for r in texts.where("t is not null").join(F.broadcast(least.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")).toLocalIterator()}
+    out: dict = {}
+    for r in least.orderBy("y", "h").collect():
+        out.setdefault(r.y, []).append(text[r.h])
+    return out
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """rows with the columns of table, which has a row for each key and in ``count`` how many rows have it.
 
-    Ids and hashes alone meet the classes; then the hashes chosen, of bounded number, pick the texts."""
-    hashed = texts.where("t is not null").withColumn("h", F.xxhash64("t"))
-    least = hashed.select("id", "h").join(classes.where(F.col("y") == y).select("id"), "id", "left_semi").select("h").distinct().orderBy("h").limit(n)
-    got = hashed.select("h", "t").join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
-    return [r.t.encode() for r in got]
+    Keys of more than ``HOT_SHARE`` of the ``total`` rows, which are fewer than its inverse, reach the rows by broadcast; the others by a shuffle in which none is large."""
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot, rest = table.where(F.col(count) > limit).drop(count), table.where(F.col(count) <= limit).drop(count)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))

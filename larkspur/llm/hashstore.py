@@ -45,6 +45,10 @@ class Store:
             self.open[kind, shard] = found
         return self.open[kind, shard]
 
+    def close(self) -> None:
+        """Lets all arrays go."""
+        self.open = {}
+
 
 def by_shard(shards: np.ndarray):
     """(shard, positions) for each shard that occurs."""
