@@ -9,7 +9,7 @@ logistic curve fitted to the training margins; the score is that of the family t
 language's against each other one of its family, so a sure language scores 1 in a family of any size.
 
 Training uses a bounded, reproducible sample: for each language the ``sample`` distinct texts with
-the least hashes, whole, and the ``most_languages`` most frequent languages.
+the least hashes, whole, or fewer where there are so many languages that ``most_texts`` would be passed.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a text of any script
 gets the language that the machines choose; languages without a known family are families of their
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import blocks, bounded_batches, sampled
 
 UNDETERMINED = "und"
-SAMPLE, MOST_LANGUAGES = 500, 200
+SAMPLE, MOST_TEXTS = 500, 50_000
 DIMS, SCALE, COST, EPOCHS = 1 << 13, 10.0, 10.0, 15
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 # Families of ISO 639-1 codes.
 FAMILIES = {
@@ -73,29 +73,50 @@ def margins(texts: list[str], weights: np.ndarray, biases: np.ndarray) -> np.nda
     return out
 
 
-def frequencies(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), DIMS), np.float32)
-    for i, t in enumerate(texts):
+@dataclass(frozen=True)
+class Rows:
+    """Sparse vectors: those of vector i are at starts[i] to starts[i + 1]."""
+
+    feature: np.ndarray
+    value: np.ndarray
+    starts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+
+def frequencies(texts: list[bytes]) -> Rows:
+    """Trigram frequencies of each text."""
+    found = []
+    for t in texts:
         feature, _ = trigrams([t.decode("utf-8", "replace")])
-        out[i] = np.bincount(feature, minlength=DIMS) * (SCALE / len(feature))
-    return out
+        kinds, counts = np.unique(feature, return_counts=True)
+        found.append((kinds.astype(np.int32), (counts * (SCALE / len(feature))).astype(np.float32)))
+    return stacked([Rows(f, v, np.array([0, len(f)])) for f, v in found])
+
+
+def stacked(parts: list[Rows]) -> Rows:
+    sizes = [np.diff(p.starts) for p in parts]
+    return Rows(np.concatenate([p.feature for p in parts]), np.concatenate([p.value for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64))
 
 
-def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+def machine(x: Rows, y: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Weights, bias and logistic slope of a linear machine (squared hinge, dual coordinate descent); y: 1 or -1."""
     n, w, b, alpha = len(x), np.zeros(DIMS), 0.0, np.zeros(len(x))
     cost = COST * n / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))  # both classes weigh the same
     diagonal = 1 / (2 * cost)
-    norm = np.einsum("ij,ij->i", x, x) + 1 + diagonal
-    rng = np.random.default_rng(3)
+    norm = np.add.reduceat(x.value.astype(float) ** 2, x.starts[:-1]) + 1 + diagonal
+    starts, rng = x.starts.tolist(), np.random.default_rng(3)
     for _ in range(EPOCHS):
-        for i in rng.permutation(n):
-            step = max(-alpha[i], -(y[i] * (x[i] @ w + b) - 1 + alpha[i] * diagonal[i]) / norm[i])
+        for i in rng.permutation(n).tolist():
+            own = slice(starts[i], starts[i + 1])
+            at, v = x.feature[own], x.value[own]
+            step = max(-alpha[i], -(y[i] * (v @ w[at] + b) - 1 + alpha[i] * diagonal[i]) / norm[i])
             if step:
                 alpha[i] += step
-                w += (step * y[i]) * x[i]
+                w[at] += (step * y[i]) * v
                 b += step * y[i]
-    z, slope = y * (x @ w + b), 1.0
+    z, slope = y * (np.add.reduceat(x.value * w[x.feature], x.starts[:-1]) + b), 1.0
     for _ in range(20):  # the slope that makes the training margins most likely, held back by one error each way
         p = 1 / (1 + np.exp(np.clip(slope * z, -50, 50)))
         slope = float(np.clip(slope + ((z * p).sum() - 0.01 * slope) / ((z * z * p * (1 - p)).sum() + 0.01), 0.1, 20))
@@ -149,7 +170,7 @@ def fit(texts: dict[str, list[bytes]]) -> Model:
     x = {c: frequencies(texts[c]) for f in families for c in f}
 
     def apart(a: list[str], b: list[str]):
-        rows = np.concatenate([x[c] for c in (*a, *b)])
+        rows = stacked([x[c] for c in (*a, *b)])
         n = sum(len(x[c]) for c in a)
         return machine(rows, np.where(np.arange(len(rows)) < n, 1.0, -1.0))
 
@@ -162,11 +183,10 @@ def fit(texts: dict[str, list[bytes]]) -> Model:
     return Model(families, np.array([w for w, _, _ in found], np.float32).reshape(len(found), DIMS), np.array([b for _, b, _ in found]), np.array([s for _, _, s in found]))
 
 
-def trained(docs: DataFrame, training: Column, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES, text_col: str = "text", lang_col: str = "lang") -> Model:
-    rows = docs.where(training).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y")).where("t is not null and y is not null")
-    rows = rows.withColumn("id", F.xxhash64("t", "y"))
-    codes = [r.y for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most_languages).collect()]
-    return fit({c: sampled(rows.where(F.col("y") == c), rows, c, sample) for c in codes})
+def trained(docs: DataFrame, training: Column, sample: int = SAMPLE, most_texts: int = MOST_TEXTS, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """One pass over the texts for the sample's hashes and one for the sample itself, whatever the number of languages."""
+    rows = docs.where(training).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y")).where("t is not null and y is not null").withColumn("h", F.xxhash64("t"))
+    return fit(sampled(rows.select("y", "h"), rows.select("h", "t"), sample, most_texts))
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +203,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def recognised(docs: DataFrame, model: Model, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, whose text has a language at no less than least_score."""
+    """The rows of docs, as they are, whose text has a language at no less than least_score. Without training texts no text has one, and none stays."""
     bounded_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
