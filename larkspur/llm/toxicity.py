@@ -112,13 +112,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, least_docs: int = LEAST_DOCS, lea
     compact = np.searchsorted(marked, row)
     rest = np.bincount(sentence_text, minlength=len(texts)) - np.bincount(sentence_text[marked], minlength=len(texts))
     owner = sentence_text[marked]
+    weigh = np.where(toxic, 0.5 / share, 0.5 / (1 - share))  # both classes weigh the same
     w, b = np.zeros(len(used)), -5.0
     m_w, v_w, m_b, v_b = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, STEPS + 1):
         x = b + np.bincount(compact, weights=w[col], minlength=len(marked))
         # -log(1 - P) of a text: the sum of softplus over its sentences.
         hazard = np.bincount(owner, weights=softplus(x), minlength=len(texts)) + rest * softplus(b)
-        pull = np.where(toxic, 1.0 / np.expm1(np.clip(hazard, 1e-9, 700)), -1.0)  # d log-likelihood / d hazard
+        pull = weigh * np.where(toxic, 1.0 / np.expm1(np.clip(hazard, 1e-9, 700)), -1.0)  # d log-likelihood / d hazard
         p, p0 = 1 / (1 + np.exp(-x)), 1 / (1 + np.exp(-b))
         g_x = pull[owner] * p
         g_w = np.bincount(col, weights=g_x[compact], minlength=len(used)) / len(texts) - L2 * w
@@ -136,7 +137,9 @@ def trained(docs: DataFrame, labels: DataFrame, training: Column, sample: int =
     """From the sampled texts for whose rows ``training`` is true; ``sample`` of each class come to the driver."""
     own = docs.where(training).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("y"))
-    clean, toxic = sampled(own, marked, False, sample), sampled(own, marked, True, sample)
+    hashed = own.where("t is not null").withColumn("h", F.xxhash64("t"))
+    found = sampled(hashed.select("id", "h").join(marked, "id").select("y", "h"), hashed.select("h", "t"), sample)
+    clean, toxic = found.get(False, []), found.get(True, [])
     return fit(clean + toxic, np.array([False] * len(clean) + [True] * len(toxic)))
 
 
