@@ -14,11 +14,13 @@ contraction joins the forests of all shards.
 Defined cases: a null, empty or word-less text has fingerprint 0 and links like any other; fewer
 than three words make one shingle of all; copies and repeated rows share a fingerprint and thus a
 component; rows with a null id get a component but never name one (a component of null ids only
-has a null id). An empty table gives an empty result. Other columns are ignored.
+has a null id). An empty table gives an empty result. Other columns are ignored, and
+``deduplicated`` returns them as they were.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_bytes, blocks, bounded_batches, written
+from larkspur.llm.common import as_bytes, blocks, bounded_batches, fresh_path, joined, written
+from larkspur.llm.hashstore import Store, by_shard, put
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 #: Distinct fingerprints that a shard is home to, about; and the sample that the top tree is built of.
@@ -54,16 +57,18 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, extra: str | None = None) -> DataFrame:
+    """id, fp: the fingerprint as a signed long; and a long column of docs as it is."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "t"):
             fp = np.array([fingerprint(t, width) for t in as_bytes(block, "t")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column("id").combine_chunks() if block.num_rows else pa.array([], pa.int64()), pa.array(fp)], ["id", "fp"])
+            more = [block.column(extra).combine_chunks()] if extra else []
+            yield pa.RecordBatch.from_arrays([block.column("id").combine_chunks(), pa.array(fp), *more], ["id", "fp", extra][: 2 + len(more)])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    own = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *([F.col(extra)] if extra else [])]
+    return docs.select(*own).mapInArrow(run, "id long, fp long" + (f", {extra} long" if extra else ""))
 
 
 def distances(a: np.ndarray, point) -> np.ndarray:
@@ -158,31 +163,32 @@ def linked(fp: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.ndarray
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that links reach, by alternating large and small stars. edges: u, v."""
+    """node, root: the least node that links reach, by alternating large and small stars. edges: u, v. A node of very many links is joined by broadcast."""
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    total, state = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+        large = written(joined(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined(large, least, "u", total)
         edges = written(small.select("u", F.col("m").alias("v")).union(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        total, state = now[0], now
 
 
-def components(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """fp, component_id for each distinct fingerprint of prints (id, fp). The id is the least of the component."""
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "fingerprints")
+def rooted(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """fp, n, first, root for each distinct fingerprint of prints (id, fp): how many rows have it, the least of their (id, other columns) and a fingerprint that stands for its component."""
+    others = [c for c in prints.columns if c not in ("id", "fp")]
+    order = F.struct(F.col("id").isNull().alias("none"), "id", *others)
+    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(order).alias("first")), "fingerprints")
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard_size)))))
     tree: list[tuple[int, int]] = []
     if depth:
         sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE_SIZE).select("fp").collect()], np.int64).view(np.uint64)
-        depth = min(depth, int(np.log2(len(sample) / 4)))
         tree = top_tree(sample, depth, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +208,49 @@ def components(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_
     dealt = nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
     edges = dealt.groupBy("shard").applyInArrow(search, "u long, v long")
     roots = contracted(edges)
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    joined = written(joined, "rooted")
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return written(joined.join(least, "root").select("fp", "component_id"), "components")
+    return written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def components(prints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """fp, component_id, n for each distinct fingerprint of prints (id, fp). The id is the least of the component, n the number of rows."""
+    found = rooted(prints.select("id", "fp"), radius, shard_size)
+    least = found.groupBy("root").agg(F.min("first.id").alias("component_id"), F.count("*").alias("fps"))
+    return written(joined(found.select("fp", "n", "root"), least, "root", found.count(), "fps").select("fp", "component_id", "n"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id for each row."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     found = components(prints, radius)
-    return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined(prints, found, "fp", prints.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs, keeping of each component the rows with its least id (rows with a null id stay); rows that repeat that id stay once."""
-    keep = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each component: one with the least id, where ids repeat the first as the table is read. A row without an id stays if its component has no other.
+
+    The rows are written with a number; the numbers of those to keep go to sorted arrays by the task that wrote them, so no text is shuffled."""
+    spark, tag = docs.sparkSession, uuid.uuid4().hex
+    row, per = f"row_{tag}", 1 << 33  # monotonically_increasing_id puts the partition above 33 bits
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    prints = written(fingerprints(rows, id_col, text_col, extra=row), "prints")
+    keep, uri = rooted(prints, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias("row")), fresh_path(spark, "kept")
+
+    def put_away(table: pa.Table) -> pa.Table:
+        own = np.sort(table.column("row").to_numpy())
+        put(uri, "row", int(own[0]) // per, own)
+        return pa.table({"n": pa.array([len(own)], pa.int64())})
+
+    keep.withColumn("part", F.shiftright("row", 33)).groupBy("part").applyInArrow(put_away, "n long").count()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(uri)
+        for b in batches:
+            number = b.column(b.schema.get_field_index(row)).to_numpy()
+            mask = np.zeros(len(number), bool)
+            for part, own in by_shard(number // per):
+                mask[own] = np.isin(number[own], store.get("row", part, np.int64))
+            yield b.filter(pa.array(mask)).select(docs_columns)
+
+    docs_columns = list(range(len(docs.columns)))
+    bounded_batches(spark)
+    return rows.mapInArrow(kept, docs.schema)
