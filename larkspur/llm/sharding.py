@@ -16,17 +16,15 @@ from __future__ import annotations
 
 import heapq
 
-import pyspark.sql.types as T
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import joined, written
 
 SHARDS, OVERHEAD = 24, 8
-#: Groups of one class beyond which its ranks are counted in buckets, and the buckets of a class or shard.
-RANK_ROWS, BUCKETS = 16_384, 1024
-#: Rows of the schedule, 28 bytes each, up to which it is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a bucket, about, within which ranks are counted.
+BUCKET_ROWS = 16_384
 
 
 def size_class(size: Column) -> Column:
@@ -61,23 +59,26 @@ def schedule(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int
     return runs
 
 
-def ranked(df: DataFrame, key: str, order: list[Column], name: str, most: int = RANK_ROWS) -> DataFrame:
-    """df with a gapless rank from 0 within each key. Keys of many rows are ranked bucket by bucket behind counted offsets."""
-    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")
-    sizes = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
-    large = sorted(r[0] for r in sizes.collect())  # at most rows / most of them
-    spark = df.sparkSession
-    df = df.withColumn("__bucket", F.when(F.col(key).isin(large), bucket).otherwise(0) if large else F.lit(0))
-    inner = Window.partitionBy(key, "__bucket").orderBy(*order)
-    df = df.withColumn("__rank", F.row_number().over(inner) - 1)
-    if not large:
-        return df.withColumn(name, F.col("__rank").cast("long")).drop("__bucket", "__rank")
-    counts = df.where(F.col(key).isin(large)).groupBy(key, "__bucket").agg(F.count("*").alias("__n"))
-    offsets = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    rows = [(r[0], r[1], r[2]) for r in offsets.select(key, "__bucket", F.coalesce("__before", F.lit(0))).collect()]
-    table = spark.createDataFrame(rows, T.StructType([T.StructField("__k", df.schema[key].dataType), T.StructField("__b", T.IntegerType()), T.StructField("__before", T.LongType())]))
-    joined = df.join(F.broadcast(table), (df[key] == table["__k"]) & (df["__bucket"] == table["__b"]), "left")
-    return joined.withColumn(name, (F.col("__rank") + F.coalesce("__before", F.lit(0))).cast("long")).drop("__k", "__b", "__before", "__bucket", "__rank")
+def ranked(df: DataFrame, key: str, order: list[Column], name: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """df with its bucket and its rank there, and a table of key, bucket and how many rows of the key come before.
+
+    A rank within a key is the sum of the two; no window holds a whole key, and neither table comes to the driver."""
+    df = df.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    inner = df.withColumn(name, F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order)).cast("long") - 1)
+    before = F.sum("here").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = df.groupBy(key, "bucket").agg(F.count("*").alias("here")).withColumn("before", F.coalesce(before, F.lit(0))).drop("here")
+    return inner, offsets
+
+
+def bounds(runs: list[tuple[int, int, int, int]], spark: SparkSession) -> DataFrame:
+    """cls, after, shards: the ends of each class's runs, and their shards."""
+    by: dict[int, tuple[list, list]] = {}
+    for cls, _, after, shard in runs:
+        ends, own = by.setdefault(cls, ([], []))
+        ends.append(after)
+        own.append(shard)
+    table = pa.table({"cls": pa.array(list(by), pa.int64()), "after": pa.array([a for a, _ in by.values()], pa.list_(pa.int64())), "shards": pa.array([s for _, s in by.values()], pa.list_(pa.int32()))})
+    return spark.createDataFrame(table)
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,15 +87,15 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     binary = F.coalesce(text.cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(binary) + OVERHEAD).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"), F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"")).alias("grp"), F.monotonically_increasing_id().alias("uid"))
     rows = written(rows, "sizes")  # uid is fixed from here on
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("total")).withColumn("cls", size_class(F.col("total")))
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("total"), F.count("*").alias("n")).withColumn("cls", size_class(F.col("total")))
     groups = written(groups, "groups")
-    classes = [(r.cls, r.n, r.b) for r in groups.groupBy("cls").agg(F.count("*").alias("n"), F.sum("total").alias("b")).collect()]
-    runs = schedule(classes, shards)
-    table = docs.sparkSession.createDataFrame(runs, "c long, first long, after long, shard int")
-    placed = ranked(groups, "cls", [F.col("grp")], "rank")
-    table = F.broadcast(table) if len(runs) <= BROADCAST_ROWS else table
-    placed = placed.join(table, (F.col("cls") == F.col("c")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))).select("grp", "shard")
+    classes = [(r.cls, r.g, r.b, r.n) for r in groups.groupBy("cls").agg(F.count("*").alias("g"), F.sum("total").alias("b"), F.sum("n").alias("n")).collect()]
+    n_groups, n_rows = sum(c[1] for c in classes), sum(c[3] for c in classes)
+    table = bounds(schedule([c[:3] for c in classes], shards), docs.sparkSession)
+    own, offsets = ranked(groups, "cls", [F.col("grp")], "rank", 1 + n_groups // BUCKET_ROWS)
+    rank = F.col("rank") + F.col("before")
+    placed = own.join(offsets.join(table, "cls"), ["cls", "bucket"]).select("grp", "n", F.get("shards", F.size(F.filter("after", lambda x: x <= rank))).alias("shard"))
     placed = written(placed, "placed")
-    dealt = written(rows.join(placed, "grp").select("id", "size", "text_crc32", "shard", "uid"), "dealt")
-    out = ranked(dealt, "shard", [F.col("uid")], "slot")
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
+    dealt = written(joined(rows, placed, "grp", n_rows).select("id", "size", "text_crc32", "shard", "uid"), "dealt")
+    own, offsets = ranked(dealt, "shard", [F.col("uid")], "slot", 1 + n_rows // (BUCKET_ROWS * shards))
+    return own.join(offsets, ["shard", "bucket"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("slot") + F.col("before")).alias("slot"))
