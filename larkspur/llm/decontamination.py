@@ -13,8 +13,9 @@ that could reach it, and skip blocks whose largest impacts cannot. A retrieved i
 text around the passage holds enough of the 5-word shingles of its question (all but the last
 sentence) and of its answer (the last sentence; an item of one sentence is both).
 
-The index goes to the tasks in slices of at most ``INDEX_BYTES`` of item text; a larger benchmark
-takes one pass over the documents for each slice.
+The index goes to the tasks through the shared folder, in slices of at most ``INDEX_BYTES`` of item
+text; a larger benchmark takes one pass over the documents for each slice. The number of items, their
+mean length and the terms' document frequencies are those of the whole benchmark, however it is sliced.
 
 Defined cases: null or empty texts and items, and those without a letter or digit, match nothing; an
 item shorter than a shingle is one shingle; items with equal texts are found together; rows with
@@ -25,6 +26,7 @@ columns are ignored, and ``decontaminated`` returns them as they were.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -36,14 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Ids, as_bytes, blocks, bounded_batches, numbered
+from larkspur.llm.common import Ids, as_bytes, blocks, bounded_batches, fresh_path, numbered
+from larkspur.llm.hashstore import Store, put
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, SHINGLE = 0.7, 0.8, 0.5, 5
 WINDOW, BLOCK = 128, 4
 #: Blocks beyond which a term counts as common, and bounds held at once.
 COMMON, CELLS = 24, 1 << 20
-INDEX_BYTES, MEMO = 16 << 20, 1_000_000
+INDEX_BYTES, MEMO = 16 << 20, 400_000
+#: Text that a worker searches at once.
+TEXT_BYTES = 4 << 20
 NOT_WORD, SENTENCE = re.compile(r"[\W_]+"), re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -91,7 +96,27 @@ class Index:
     longest: int = 0
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
+@dataclass
+class Corpus:
+    """What BM25 asks of all items together. Items without a term do not count."""
+
+    items: int = 0
+    words: int = 0
+    df: Counter = field(default_factory=Counter)  # of a term's text
+
+    def add(self, text: str | None) -> None:
+        own = terms(text or "")
+        if own:
+            self.items, self.words = self.items + 1, self.words + len(own)
+            self.df.update(set(own))
+
+
+def build(rows: list[tuple[int, str]], corpus: Corpus | None = None) -> Index:
+    """The index of rows, items of the corpus (all there is, unless given)."""
+    if corpus is None:
+        corpus = Corpus()
+        for _, text in rows:
+            corpus.add(text)
     index, ids, counts, sizes = Index(), Ids(), [], []
     for item, text in rows:
         sentences = [t for s in SENTENCE.split(text or "") if (t := [ids[w] for w in terms(s)])]
@@ -103,8 +128,8 @@ def build(rows: list[tuple[int, str]]) -> Index:
         index.answers.append(shingles(sentences[-1]))
         counts.append(Counter(every))
         sizes.append(len(every))
-    n, mean = len(sizes), sum(sizes) / max(1, len(sizes))
-    df = Counter(t for c in counts for t in c)
+    n, mean = corpus.items, corpus.words / max(1, corpus.items)
+    df = [corpus.df[w] for w in ids]
     found: dict[int, list[tuple[int, float]]] = {}
     for d, (c, size) in enumerate(zip(counts, sizes, strict=True)):
         weight = {t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()}
@@ -245,50 +270,69 @@ class Matcher:
         return out
 
 
-def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = INDEX_BYTES) -> list[Index]:
-    """Of slices of the benchmark, each of bounded size. The benchmark is a fixed set of tests; it comes to the driver."""
-    slices: list[list] = [[]]
-    size = 0
-    for r in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).orderBy(F.col(item_col), F.col(text_col)).toLocalIterator():
+def rows_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[int, str]]:
+    yield from benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).orderBy(F.col(item_col), F.col(text_col)).toLocalIterator()
+
+
+def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = INDEX_BYTES) -> Iterator[Index]:
+    """Of slices of the benchmark, each of bounded size, one at a time. The benchmark is a fixed set of tests; its vocabulary and one slice are on the driver."""
+    corpus = Corpus()
+    for _, text in rows_of(benchmark, item_col, text_col):
+        corpus.add(text)
+    own, size = [], 0
+    for r in rows_of(benchmark, item_col, text_col):
+        if own and size + len(r[1] or "") > most:
+            yield build(own, corpus)
+            own, size = [], 0
+        own.append((r[0], r[1]))
         size += len(r[1] or "")
-        if size > most:
-            slices.append([])
-            size = len(r[1] or "")
-        slices[-1].append((r[0], r[1]))
-    return [build(s) for s in slices]
+    yield build(own, corpus)
+
+
+def stored(benchmark: DataFrame, most: int = INDEX_BYTES) -> list[str]:
+    """Where in the shared folder the slices' indexes are."""
+    out = []
+    for index in indexes(benchmark, most=most):
+        out.append(fresh_path(benchmark.sparkSession, "bm25"))
+        put(out[-1], "index", 0, np.frombuffer(pickle.dumps(index), np.uint8))
+    return out
+
+
+def loaded(uri: str) -> Index:
+    return pickle.loads(Store(uri).get("index", 0, np.uint8).tobytes())
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, id_col: str = "doc_id", text_col: str = "text", most: int = INDEX_BYTES) -> DataFrame:
     """id_col, item_id, passage, bm25 (share of the item's own score), question_overlap, answer_overlap, for each document and item that it holds."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = "id long, item_id long, passage long, bm25 double, question_overlap double, answer_overlap double"
 
-    def search(index: Index):
+    def search(uri: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = Matcher(index, threshold, question, answer)
-            for block in blocks(batches, "t"):
+            match = Matcher(loaded(uri), threshold, question, answer)
+            for block in blocks(batches, "t", TEXT_BYTES):
                 found = match(as_bytes(block, "t"))
-                hits = [(i, index.items[k], *v) for i, by in zip(block.column("id").to_pylist(), found, strict=True) for k, v in sorted(by.items())]
+                hits = [(i, match.index.items[k], *v) for i, by in zip(block.column("id").to_pylist(), found, strict=True) for k, v in sorted(by.items())]
                 columns = [list(c) for c in zip(*hits, strict=True)] or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], ["id", "item_id", "passage", "bm25", "question_overlap", "answer_overlap"])
 
         return rows.mapInArrow(run, schema)
 
     out = None
-    for index in indexes(benchmark):
-        out = search(index) if out is None else out.union(search(index))
+    for uri in stored(benchmark, most):
+        out = search(uri) if out is None else out.union(search(uri))
     best = out.groupBy("id", "item_id").agg(F.max(F.struct("bm25", "question_overlap", "answer_overlap", (-F.col("passage")).alias("p"))).alias("m"))
     return best.select(F.col("id").alias(id_col), "item_id", (-F.col("m.p")).alias("passage"), "m.bm25", "m.question_overlap", "m.answer_overlap")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, text_col: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, text_col: str = "text", most: int = INDEX_BYTES) -> DataFrame:
     """The rows of docs that hold no item, as they are."""
-    for index in indexes(benchmark):
+    for uri in stored(benchmark, most):
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            match = Matcher(index, threshold, question, answer)
-            for block in blocks(batches, text_col):
+        def keep(batches: Iterator[pa.RecordBatch], uri: str = uri) -> Iterator[pa.RecordBatch]:
+            match = Matcher(loaded(uri), threshold, question, answer)
+            for block in blocks(batches, text_col, TEXT_BYTES):
                 clean = pa.array([not by for by in match(as_bytes(block, text_col))], pa.bool_())
                 yield from block.filter(clean).to_batches()
 
