@@ -1,19 +1,21 @@
 """Quality rules whose cut-offs carry a guarantee.
 
-Each rule rejects a text whose statistic exceeds a cut-off. In every stratum (a band of text
-lengths) and for every rule, the labelled holdout's good texts say how often each cut-off of a fixed
-grid would reject a good text; the exact (Clopper-Pearson) upper bound on that rate must stay within
-the rule's share of the risk, ``risk`` / number of rules, as rejections of several rules add up. The
-grid is tested from its highest cut-off down to the first that fails (a fixed sequence needs no
-correction); the error probability ``delta`` is divided by the number of rules and strata
-(Bonferroni), so all bounds hold at once. Of the cut-offs that pass, a rule takes the one that
-rejects the largest share of the holdout's bad texts less that of its good ones, the highest on a
-tie; it is off in a stratum where none passes or none rejects a bad text.
-
-Defined cases: a null or empty text has no words and fails the base rule; a null label or a label
-without a document counts for nothing; a document with several labels counts once for each; without
-labels every rule is off. Rows repeat in the result as they do in the input, and columns other
-than the id and the text are not read, whatever their names.
+Each rule rejects a text whose statistic exceeds a cut-off. In every stratum (a band of text lengths)
+a path leads from no rule at all to ever stricter ones: each step lowers the cut-off of one rule, the
+one that rejects the most labelled bad texts for each unlabelled text that it costs. The path knows
+nothing of the good labelled texts. These then test it, step by step: the exact (Clopper-Pearson)
+upper bound on the rate at which all rules together reject a good text must stay within ``risk``; the
+first step that fails ends the path (a fixed sequence needs no correction), and the error probability
+``delta`` is divided by the number of strata (Bonferroni), so all bounds hold at once. The cut-offs are
+those of the last step that passed.
+
+Trials must be independent, so labelled texts count once, however many documents repeat them; a text
+counts as good if any of its labels does.
+
+Defined cases: a null or empty text has no words and fails the base rule; texts that fail it take no
+part in the choice; a null label or a label without a document counts for nothing; a stratum without
+good or without bad labelled texts has no rules. Rows repeat in the result as they do in the input, and
+columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from larkspur.llm.common import as_bytes, blocks, bounded_batches, numbered, sum
 SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\v\f\r", 8
 RISK, DELTA = 0.02, 0.05
 #: Least number of words of each stratum.
-STRATA = (0, 50, 200, 1000)
+STRATA = (0, 200)
+BASE = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 #: Rules: SQL of the statistic (0 where there is nothing to divide by) and the grid of its cut-offs, lowest first.
 GRID = tuple(round(0.02 * i, 2) for i in range(1, 51))
 RULES = {
@@ -84,15 +87,16 @@ def text_stats(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and STATS for each row."""
+    """id, STATS and a hash of the text for each row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "t"):
             found = text_stats(as_bytes(block, "t"))
-            yield pa.RecordBatch.from_arrays([block.column("id").combine_chunks(), *(pa.array(found[k]) for k in STATS)], ["id", *STATS])
+            yield pa.RecordBatch.from_arrays([block.column("id").combine_chunks(), *(pa.array(found[k]) for k in STATS), block.column("h").combine_chunks()], ["id", *STATS, "h"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, " + ", ".join(f"{k} long" for k in STATS))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    return own.mapInArrow(run, "id long, " + ", ".join(f"{k} long" for k in STATS) + ", h long")
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -129,44 +133,76 @@ def stratum():
     return out
 
 
-def chosen(grid: tuple, good: list[int], n_good: int, bad: list[int], n_bad: int, most: int) -> float | None:
-    """The cut-off for counts of good and bad texts beyond each of the grid."""
-    best = None
-    for c, g, b in sorted(zip(grid, good, bad, strict=True), reverse=True):
-        if g > most:
+def step(value, grid: tuple):
+    """How many steps down the grid, from its highest cut-off, it takes to reject a value; one more than there are if none does."""
+    return F.lit(len(grid) + 1) - F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: c < value))
+
+
+def path(bad: np.ndarray, weight: np.ndarray, cost: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(rule, step) in order: each next one rejects the most bad texts for each unlabelled text that the rule did not cost before.
+
+    bad: ``step`` of each kind of text by each rule, weight: how many there are; cost: by rule, how many unlabelled texts each step rejects, 0 the first."""
+    out, at = [], [0] * len(cost)
+    while len(bad):
+        best = None
+        for rule, spent in enumerate(cost):
+            gains = np.cumsum(np.bincount(np.minimum(bad[:, rule], len(spent)), weights=weight, minlength=len(spent) + 1)[: len(spent)])
+            rate = gains / (1.0 + np.maximum(spent - spent[at[rule]], 0))
+            k = int(np.argmax(rate))  # of equals the highest cut-off
+            if gains[k] > 0 and (best is None or rate[k] > best[0]):
+                best = rate[k], rule, k
+        if best is None:
+            break
+        _, rule, k = best
+        at[rule] = k
+        out.append((rule, k))
+        bad, weight = bad[bad[:, rule] > k], weight[bad[:, rule] > k]
+    return out
+
+
+def certified(good: np.ndarray, weight: np.ndarray, moves: list[tuple[int, int]], most: int) -> dict[int, int]:
+    """Rule to step at the end of the longest beginning of the path that rejects at most ``most`` of good."""
+    out: dict[int, int] = {}
+    left = np.ones(len(good), bool)
+    for rule, k in moves:
+        left &= good[:, rule] > k
+        if int(weight[~left].sum()) > most:
             break
-        gain = b / max(1, n_bad) - g / max(1, n_good)
-        if b and (best is None or gain > best[0]):
-            best = gain, c
-    return best[1] if best else None
+        out[rule] = k
+    return out
 
 
 def thresholds(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, label_id: str = "doc_id", label_col: str = "quality") -> dict[str, dict[int, float]]:
-    """Cut-off by rule and stratum. Spark counts the texts beyond each cut-off; two rows per stratum come to the driver."""
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(label_id).cast("long").alias("__label"), F.col(label_col).alias("__good"))
-    held = stats.join(marked, stats.id == marked["__label"]).where("not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)")
-    counts = [F.count("*").alias("n")]
-    for rule, (sql, grid) in RULES.items():
-        x = F.expr(sql)
-        counts.append(F.array(*(F.sum((x > c).cast("long")) for c in grid)).alias(rule))
-    rows = {(r.s, r["__good"]): r for r in held.groupBy(stratum().alias("s"), "__good").agg(*counts).collect()}
-    each = delta / (len(STRATA) * len(RULES))
-    out: dict[str, dict[int, float]] = {r: {} for r in RULES}
+    """Cut-off by rule and stratum. Spark counts the labelled texts of each combination of steps and the unlabelled ones of each step; these counts, which the grids bound, come to the driver."""
+    names, grids = list(RULES), [grid for _, grid in RULES.values()]
+    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_id).cast("long").alias("id")).agg(F.max(label_col).alias("good"))
+    base = stats.where(f"not ({BASE})").select("id", "h", stratum().alias("s"), *(step(F.expr(sql), grid).alias(rule) for rule, (sql, grid) in RULES.items()))
+    texts = base.join(marked, "id").groupBy("s", "h", *names).agg(F.max("good").alias("good"))
+    kinds = texts.groupBy("s", "good", *names).agg(F.count("*").alias("n")).collect()
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("step")) for n in names))).alias("x")
+    others = base.join(marked, "id", "left_anti").select("s", each).groupBy("s", "x.rule", "x.step").agg(F.count("*").alias("n")).collect()
+    out: dict[str, dict[int, float]] = {n: {} for n in names}
     for s in range(len(STRATA)):
-        good, bad = rows.get((s, 1)), rows.get((s, 0))
-        if good is None or bad is None:
+        own = {y: [r for r in kinds if r.s == s and r.good == y] for y in (0, 1)}
+        if not own[0] or not own[1]:
             continue
-        most = allowed(good.n, risk / len(RULES), each)
-        for rule, (_, grid) in RULES.items():
-            cut = chosen(grid, good[rule], good.n, bad[rule], bad.n, most)
-            if cut is not None:
-                out[rule][s] = cut
+        (bad, bad_n), (good, good_n) = ((np.array([[r[n] for n in names] for r in own[y]], np.int64), np.array([r.n for r in own[y]], np.int64)) for y in (0, 1))
+        cost = []
+        for n, grid in zip(names, grids, strict=True):
+            count = np.zeros(len(grid) + 2)
+            for r in others:
+                if r.s == s and r.rule == n:
+                    count[r.step] += r.n
+            cost.append(np.cumsum(count[:-1]))
+        most = allowed(int(good_n.sum()), risk, delta / len(STRATA))
+        for rule, k in certified(good, good_n, path(bad, bad_n, cost), most).items():
+            out[names[rule]][s] = grids[rule][-k]
     return out
 
 
 def judged(stats: DataFrame, cuts: dict[str, dict[int, float]]) -> DataFrame:
     """stats with base_failed, failed_rules and kept."""
-    base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
+    base = F.expr(BASE)
     failed = [F.when((F.expr(RULES[r][0]) > c) & (stratum() == s), F.lit(r)) for r, by in cuts.items() for s, c in by.items()]
     failed_rules = F.array_distinct(F.array_compact(F.array(*failed))) if failed else F.array().cast("array<string>")
     return stats.withColumn("base_failed", base).withColumn("failed_rules", failed_rules).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
@@ -175,4 +211,4 @@ def judged(stats: DataFrame, cuts: dict[str, dict[int, float]]) -> DataFrame:
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, STATS, base_failed, failed_rules, kept for each row of docs."""
     stats = written(measured(docs, id_col, text_col), "stats")
-    return judged(stats, thresholds(stats, labels, risk, delta)).withColumnRenamed("id", id_col)
+    return judged(stats, thresholds(stats, labels, risk, delta)).drop("h").withColumnRenamed("id", id_col)
