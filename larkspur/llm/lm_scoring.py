@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and mapped by the workers that score.
 
 Tokens are a text's lower-cased words and one end. Three passes over the shuffle build the model:
-distinct words with counts, sharded by hash; distinct word pairs with counts, sharded by their
-context; continuation counts, sharded by word. Tasks exchange sorted, compressed arrays rather than
+distinct words with counts, sharded by hash; distinct word pairs with counts, sharded by a hash of
+both words, so that the followers of a frequent word are spread over all shards; and how many contexts
+and followers words have, sharded by word. Tasks exchange sorted, compressed arrays rather than
 a row per n-gram, after adding up what their own texts repeat, so a frequent word or pair weighs no
 more than any other in the shuffle. The reducing tasks write sorted arrays to a store in the shared
 folder: word hashes (a word's id is its rank), counts, context weights, and pair keys (context id
@@ -17,7 +18,7 @@ arrays would be twice the size of the text.
 Defined cases: a null or empty text is an end alone; a word or a context that training lacks takes
 the back-off weight; without training texts each score is that of the uniform distribution over the
 one unknown token, 0. Rows repeat in the result as in the input; other columns are ignored. Words
-are told apart by 64-bit hashes.
+are told apart by 64-bit hashes. More than 2**32 - 2 distinct words are an error, as pairs of ids fill 64 bits.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ from larkspur.llm.hashstore import Store, by_shard, packed, put, summed, unpacke
 
 #: What stands for a text's end; no word contains white space.
 END = b"\n"
-#: Text bytes for each shard of the model, about, and the most shards.
-SHARD_BYTES, MOST_SHARDS = 4 << 20, 16_384
+#: Text bytes for each shard of the model, about.
+SHARD_BYTES = 4 << 20
 #: Text that a task counts before it passes its sums on.
-COUNT_BYTES = 32 << 20
+COUNT_BYTES = 24 << 20
 
 
 @dataclass
@@ -98,18 +99,18 @@ class Model:
     def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.zeros(len(context), np.int64)
         known = np.flatnonzero((context >= 0) & (word >= 0))
-        for shard, own in by_shard(self.shard_of(context[known])):
-            at, keys = known[own], self.opened().get("pair", shard, np.uint64)
-            key = pair_key(context[at], word[at])
-            pos = np.searchsorted(keys, key)
+        key = pair_key(context[known], word[known])
+        for shard, own in by_shard(pair_shard(key, self.shards)):
+            keys = self.opened().get("pair", shard, np.uint64)
+            pos = np.searchsorted(keys, key[own])
             hit = pos < len(keys)
-            hit[hit] = keys[pos[hit]] == key[hit]
-            out[at[hit]] = self.opened().get("paircount", shard, np.uint32)[pos[hit]]
+            hit[hit] = keys[pos[hit]] == key[own][hit]
+            out[known[own[hit]]] = self.opened().get("paircount", shard, np.int64)[pos[hit]]
         return out
 
     def low(self, ids: np.ndarray) -> np.ndarray:
         """P(w), from continuation counts."""
-        a = self.values("cont", np.uint32, ids).astype(np.int64)
+        a = self.values("cont", np.int64, ids)
         seen = (a - np.array(self.low_discounts)[np.minimum(a, 3)]) / max(1, self.low_total)
         return np.where(a > 0, seen, 0.0) + self.low_weight / (self.words + 1)
 
@@ -131,6 +132,10 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
 
 
+def pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return hash_shard(keys * np.uint64(0x9E3779B97F4A7C15), shards)
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of all texts' tokens, where texts start, and each number's hash."""
     ids, starts, seen = numbered([*t.lower().split(), END] for t in texts)
@@ -159,21 +164,21 @@ def tally(low: np.ndarray, n: tuple) -> list[int]:
     return [int((low == k).sum()) for k in n]
 
 
-PARTS = "shard int, keys binary, counts binary"
+PARTS = "shard int, kind int, keys binary, counts binary"
 
 
-def part(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-    return {"shard": shard, "keys": packed(keys), "counts": packed(counts)}
+def part(shard: int, keys: np.ndarray, counts: np.ndarray, kind: int = 0) -> dict:
+    return {"shard": shard, "kind": kind, "keys": packed(keys), "counts": packed(counts)}
 
 
 def emitted(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
 def merged(table: pa.Table, key_type, count_type) -> tuple[int, np.ndarray, np.ndarray]:
-    keys = np.concatenate([unpacked(x, key_type) for x in table.column("keys").to_pylist()])
-    counts = np.concatenate([unpacked(x, count_type) for x in table.column("counts").to_pylist()])
-    return table.column("shard")[0].as_py(), *summed(keys, counts)
+    keys = np.concatenate([np.empty(0, key_type), *(unpacked(x, key_type) for x in table.column("keys").to_pylist())])
+    counts = np.concatenate([np.empty(0, count_type), *(unpacked(x, count_type) for x in table.column("counts").to_pylist())])
+    return table.column("shard")[0].as_py() if table.num_rows else -1, *summed(keys, counts)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
@@ -182,7 +187,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     docs_n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
-    shards, uri = int(min(max(size // SHARD_BYTES, 4), MOST_SHARDS)), fresh_path(spark, "lm")
+    shards, uri = int(max(size // SHARD_BYTES, 4)), fresh_path(spark, "lm")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "t", COUNT_BYTES):
@@ -199,6 +204,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     found = {r.shard: (r.n, r.total) for r in texts.mapInArrow(count_words, PARTS).groupBy("shard").applyInArrow(keep_words, "shard int, n long, total long").collect()}
     bounds = np.concatenate([[0], np.cumsum([found.get(s, (0, 0))[0] for s in range(shards)])]).astype(np.int64)
     model = Model(uri, bounds, sum(t for _, t in found.values()), docs=docs_n)
+    if model.words >= 2**32 - 1:
+        raise ValueError("too many distinct words for pairs of 32-bit ids")
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "t", COUNT_BYTES):
@@ -207,40 +214,42 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             keys = np.sort(pair_key(contexts(ids, starts, model.words), ids))
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, counts = keys[first], np.diff(np.append(first, len(keys))).astype(np.uint32)
-            yield emitted([part(s, keys[own], counts[own]) for s, own in by_shard(model.shard_of((keys >> np.uint64(32)).astype(np.int64)))])
+            yield emitted([part(s, keys[own], counts[own]) for s, own in by_shard(pair_shard(keys, shards))])
 
     pairs = texts.mapInArrow(count_pairs, PARTS)
 
     def count_of_pairs(table: pa.Table) -> pa.Table:
-        """Writes a shard of pairs; returns how many occur 1 to 4 times and, by shard of the word, how many contexts words have here."""
+        """Writes a shard of pairs; returns how many occur 1 to 4 times and, by shard of the word, how many contexts (kind 0) and how many followers that occur once, twice or more often (kinds 1 to 3) words have here."""
         shard, keys, counts = merged(table, np.uint64, np.uint32)
         put(uri, "pair", shard, keys)
-        put(uri, "paircount", shard, np.minimum(counts, 2**32 - 1).astype(np.uint32))
-        context = (keys >> np.uint64(32)).astype(np.int64) - model.bounds[shard]
-        width = int(model.bounds[shard + 1] - model.bounds[shard]) + (shard == model.shards - 1)
-        for k in (1, 2, 3):
-            own = context[counts == k] if k < 3 else context[counts >= 3]
-            put(uri, f"followers{k}", shard, np.bincount(own, minlength=width).astype(np.uint32))
-        word, n = summed((keys & np.uint64(2**32 - 1)).astype(np.int64), np.ones(len(keys), np.int64))
-        rows = [part(s, word[own], n[own].astype(np.uint32)) for s, own in by_shard(model.shard_of(word))]
-        rows.append({"shard": -1, "keys": packed(np.arange(1, 5)), "counts": packed(np.array(tally(counts, (1, 2, 3, 4)), np.int64))})
+        put(uri, "paircount", shard, counts)
+        context, follower = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(2**32 - 1)).astype(np.int64)
+        rows = [part(-1, np.arange(1, 5), np.array(tally(counts, (1, 2, 3, 4)), np.int64))]
+        for kind, own in enumerate((follower, context[counts == 1], context[counts == 2], context[counts > 2])):
+            word, n = np.unique(own, return_counts=True)
+            rows += [part(s, word[at], n[at].astype(np.uint32), kind) for s, at in by_shard(model.shard_of(word))]
         return pa.Table.from_batches([emitted(rows)])
 
-    partial = written(pairs.groupBy("shard").applyInArrow(count_of_pairs, PARTS), "lm-continuations")
+    partial = written(pairs.groupBy("shard").applyInArrow(count_of_pairs, PARTS), "lm-neighbours")
     times = [0] * 4
     for r in partial.where("shard = -1").collect():  # a row per shard
         times = [a + int(b) for a, b in zip(times, unpacked(bytes(r.counts), np.int64), strict=True)]
     model.discounts = discounts(times)
 
-    def keep_continuations(table: pa.Table) -> pa.Table:
-        shard, word, n = merged(table, np.int64, np.uint32)
-        cont = np.zeros(int(model.bounds[shard + 1] - model.bounds[shard]), np.uint32)
-        cont[word - model.bounds[shard]] = n
-        put(uri, "cont", shard, cont)
-        return pa.table({"n": pa.array([[*tally(n, (1, 2, 3, 4)), int((n > 2).sum()), int(n.sum())]], pa.list_(pa.int64()))})
+    def keep_neighbours(table: pa.Table) -> pa.Table:
+        shard, kinds = table.column("shard")[0].as_py(), table.column("kind").to_numpy()
+        width = int(model.bounds[shard + 1] - model.bounds[shard])
+        for kind in range(4):
+            _, word, n = merged(table.filter(pa.array(kinds == kind)), np.int64, np.uint32)
+            values = np.zeros(width + (kind > 0 and shard == model.shards - 1), np.int64)
+            values[word - model.bounds[shard]] = n
+            put(uri, f"followers{kind}" if kind else "cont", shard, values)
+            if not kind:
+                out = [*tally(n, (1, 2, 3, 4)), int((n > 2).sum()), int(n.sum())]
+        return pa.table({"n": pa.array([out], pa.list_(pa.int64()))})
 
     low = np.zeros(6, np.int64)
-    for r in partial.where("shard >= 0").groupBy("shard").applyInArrow(keep_continuations, "n array<long>").collect():
+    for r in partial.where("shard >= 0").groupBy("shard").applyInArrow(keep_neighbours, "n array<long>").collect():
         low += np.array(r.n)
     model.low_discounts, model.low_total = discounts(list(low[:4])), int(low[5])
     if model.low_total:
@@ -254,7 +263,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
                 total = np.append(total, model.docs) if last else total
                 weight = np.zeros(len(total))
                 for k in (1, 2, 3):
-                    followers = store.get(f"followers{k}", shard, np.uint32)
+                    followers = store.get(f"followers{k}", shard, np.int64)
                     weight += model.discounts[k] * followers if len(followers) else 0.0
                 put(uri, "weight", shard, weight / np.maximum(total, 1))
             yield b
@@ -278,8 +287,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 base = np.log10((c + 1) / (model.tokens + model.words + 1))
                 word = word[ids]
                 context = contexts(word, starts, model.words)
-                key, back = np.unique(((context + 1) << 32) | (word + 1), return_inverse=True)
-                logs = model.log_probs((key >> 32) - 1, (key & (2**32 - 1)) - 1)[back]
+                key, back = np.unique(pair_key(context + 1, word + 1), return_inverse=True)
+                logs = model.log_probs((key >> np.uint64(32)).astype(np.int64) - 1, (key & np.uint64(2**32 - 1)).astype(np.int64) - 1)[back]
                 known, base_score, score = (np.add.reduceat(x, starts[:-1]) for x in ((c > 0).astype(np.int64)[ids], base[ids], logs))
             else:
                 known, base_score, score = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
