@@ -62,8 +62,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "offending")
 
 
+def secret_forest(spark: SparkSession) -> secret_scan.Forest:
+    return secret_scan.trained(secret_scan.seed_findings(spark), words=secret_scan.vocabulary(public_tokenizers.path(RANKS)))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.findings(documents(spark, sf_dir), secret_scan.trained(secret_scan.seed_findings(spark)))
+    return secret_scan.findings(documents(spark, sf_dir), secret_forest(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_decontamination, op4_quality_rules, op5_language_id, op6_byte_bpe, op7_simhash_dedup, op8_lm_scoring, op9_toxicity, op10_secret_scan)}
