@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
-from larkspur.llm import byte_bpe, decontamination, language_id, lm_scoring, quality_rules, secret_scan, sharding, simhash_dedup, token_counts, toxicity
+from larkspur.llm import byte_bpe, common, decontamination, language_id, lm_scoring, quality_rules, secret_scan, sharding, simhash_dedup, token_counts, toxicity
 
 PIECES, RANKS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, h int, fp string, shard string, size string, n string, word string, grp int"
@@ -142,11 +143,21 @@ def test_sharding(spark, docs, texts):
 def test_ranks_in_buckets(spark):
     df = spark.range(5000).withColumn("k", F.when(F.col("id") < 4000, 1).otherwise(F.col("id") % 7 + 2))
     got = collections.defaultdict(list)
-    for r in sharding.ranked(df, "k", [F.col("id")], "rank", most=300).collect():
-        got[r.k].append(r.rank)
+    own, offsets = sharding.ranked(df, "k", [F.col("id")], "rank", 17)
+    for r in own.join(offsets, ["k", "bucket"]).collect():
+        got[r.k].append(r.rank + r.before)
     assert all(sorted(v) == list(range(len(v))) for v in got.values()) and len(got[1]) == 4000
 
 
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = spark.range(1000).withColumn("k", F.when(F.col("id") < 600, -1).otherwise(F.col("id") % 30))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = {r.id: r.least for r in common.joined(rows, table, "k", 1000).collect()}
+    want = {r.id: r.least for r in rows.join(table, "k").collect()}
+    assert got == want and len(got) == 1000
+
+
 def test_size_classes(spark):
     got = [r.c for r in spark.createDataFrame([(8,), (65535,), (65537,), (1 << 40 | 1,)], "x long").select(sharding.size_class(F.col("x")).alias("c")).collect()]
     assert got == [8, 65535, 65536, 1 << 40]
@@ -188,9 +199,17 @@ def test_leaks_with_unicode_spaces(spark):
     assert [r.doc_id for r in decontamination.decontaminated(docs, bench).collect()] == [2]
 
 
-def test_slices_of_a_large_benchmark(spark, sf):
+def test_slices_of_a_large_benchmark(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    assert sum(len(i.items) for i in decontamination.indexes(bench, most=600)) == bench.count() > len(decontamination.indexes(bench, most=600)) > 3
+    slices = list(decontamination.indexes(bench, most=600))
+    assert sum(len(i.items) for i in slices) == bench.count() > len(slices) > 3
+    whole = decontamination.build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()])
+    for own in slices:  # each term weighs in an item what it weighs in the whole benchmark's index
+        for t, k in own.terms.items():
+            at = dict(zip([whole.items[d] for d in whole.postings[whole.terms[t]]], whole.impacts[whole.terms[t]], strict=True))
+            assert all(at[own.items[d]] == pytest.approx(w) for d, w in zip(own.postings[k], own.impacts[k], strict=True))
+    one, many = (sorted(map(tuple, decontamination.contaminations(docs, bench, most=m).collect())) for m in (1 << 20, 600))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and [r[3] for r in one] == pytest.approx([r[3] for r in many])
 
 
 def words(text):
@@ -219,25 +238,60 @@ def test_exact_bounds():
     assert quality_rules.allowed(10, 0.02, 0.001) == -1
 
 
-def test_chosen_cutoff():
-    grid = (1.0, 2.0, 3.0, 4.0)
-    assert quality_rules.chosen(grid, [50, 2, 0, 0], 1000, [90, 80, 80, 10], 100, 5) == 3.0
-    assert quality_rules.chosen(grid, [3, 2, 0, 0], 1000, [99, 80, 80, 10], 100, 5) == 1.0
-    assert quality_rules.chosen(grid, [9, 9, 9, 9], 1000, [99, 80, 80, 10], 100, 5) is None
-    assert quality_rules.chosen(grid, [0, 0, 0, 0], 1000, [0, 0, 0, 0], 100, 5) is None
+def test_path_and_its_end():
+    bad, n = np.array([[2, 4], [2, 4], [3, 1], [4, 3]]), np.array([10, 10, 5, 1])
+    cost = [np.array([0, 0, 1, 50]), np.array([0, 2, 2, 90])]
+    moves = quality_rules.path(bad, n, cost)
+    assert moves == [(0, 2), (1, 1), (1, 3)]
+    good, weight = np.array([[2, 4], [4, 1], [4, 3], [4, 4]]), np.array([3, 2, 1, 994])
+    assert quality_rules.certified(good, weight, moves, 2) == {}
+    assert quality_rules.certified(good, weight, moves, 5) == {0: 2, 1: 1}
+    assert quality_rules.certified(good, weight, moves, 6) == {0: 2, 1: 3}
 
 
-def test_cutoffs_keep_the_good(spark):
+def labelled_stats(spark, copies):
+    """Good texts have 0 to 19 symbols, the bad ones 900; some good texts are there many times."""
     rng = np.random.default_rng(6)
-    rows = [(int(i), 300, 1500, int(s), 0, 0, 10) for i, s in enumerate(rng.integers(0, 20, 20000))] + [(20000 + i, 300, 1500, 900, 0, 0, 10) for i in range(50)]
-    stats = spark.createDataFrame(rows, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    labels = spark.createDataFrame([(i, 1) for i in range(20000)] + [(20000 + i, 0) for i in range(50)], "doc_id long, quality int")
+    rows = [(int(i), 300, 1500, int(s), 0, 0, 10, int(i)) for i, s in enumerate(rng.integers(0, 20, 20000))] + [(20000 + i, 300, 1500, 900, 0, 0, 10, 20000 + i) for i in range(50)]
+    rows += [(30000 + i, 300, 1500, 1 + 2 * (i % 2), 0, 0, 10, 30000 + i % 2) for i in range(copies)]
+    stats = spark.createDataFrame(rows, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, h long")
+    return stats, spark.createDataFrame([(r[0], int(not 20000 <= r[0] < 30000)) for r in rows], "doc_id long, quality int")
+
+
+def test_cutoffs_keep_the_good(spark):
+    stats, labels = labelled_stats(spark, 0)
     cuts = quality_rules.thresholds(stats, labels)
     out = quality_rules.judged(stats, cuts)
     assert cuts["symbols"] and out.where("id >= 20000 and kept").count() == 0
     assert out.where("id < 20000 and not kept").count() <= 0.02 * 20000
 
 
+def test_copies_of_a_labelled_text_count_once(spark):
+    """Two texts, repeated 400 times, are two trials: too few to certify anything."""
+    stats, labels = labelled_stats(spark, 400)
+    few = stats.where("id >= 20000")
+    assert not any(quality_rules.thresholds(few, labels).values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_false_rejection_is_limited_on_held_out_texts(spark, seed):
+    """Cut-offs from half of the labelled texts reject no more than the risk of the other half's good ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    stats = quality_rules.measured(docs.join(labels.select("doc_id"), "doc_id", "left_semi")).cache()
+    half = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(2)) == 0
+    cuts = quality_rules.thresholds(stats.where(half), labels)
+    out = quality_rules.judged(stats.where(~half & ~F.expr(quality_rules.BASE)).dropDuplicates(["h"]), cuts).join(labels, F.col("id") == F.col("doc_id"))
+    good, bad = (out.where(f"quality = {y}").agg(F.avg((~F.col("kept")).cast("double"))).first()[0] for y in (1, 0))
+    assert sum(map(len, cuts.values())) >= 2 and good <= 2 * quality_rules.RISK and bad > 0.2
+
+
+def test_rules_act_on_a_small_holdout(spark):
+    sf = "/root/testdata/sf0.01"
+    out = quality_rules.quality_verdicts(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert out.where("not base_failed and not kept").count() > 0
+
+
 def test_language_id_on_held_out(docs):
     model = language_id.trained(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, sample=60)
     got = {r.doc_id: r for r in language_id.identified(docs, model).collect()}
@@ -272,7 +326,8 @@ def test_pretokens_and_merges_match_tiktoken():
     alphabet = "ab'st re\n\t\x0b\x1c\x85 　éß1٣²Ⅷ☃😀.,- "
     for _ in range(4000):
         t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14)))
-        got = [i for p in byte_bpe.parts(t) for w in byte_bpe.cut(p, pattern) for i in byte_bpe.merged(w.encode(), ranks)]
+        distinct, ids, _ = byte_bpe.parts(pa.array([t]))
+        got = [i for p in ids for w in byte_bpe.cut(distinct[p].as_py(), pattern) for i in byte_bpe.merged(w.encode(), ranks)]
         assert got == encoding.encode_ordinary(t), repr(t)
 
 
