@@ -69,6 +69,21 @@ def category_edits(filled_in: DataFrame) -> DataFrame:
     return out.where("remove or rename_to is not null")
 
 
+def survival_report(roles: DataFrame) -> DataFrame:
+    """The skeleton for survival edits: each survival column with the role that its name suggests (Event or Time) and blank change_datatype, survival_label and remove. roles: ``profile.survival_profiles``."""
+    blank = F.lit(None).cast("string")
+    return roles.select("col_name", F.coalesce("col_type", F.lit("Unknown")).alias("inferred_datatype"), blank.alias("change_datatype"), blank.alias("survival_label"), F.lit(None).cast("boolean").alias("remove")).orderBy("inferred_datatype", "col_name")
+
+
+def survival_edits(filled_in: DataFrame) -> DataFrame:
+    """The filled-in report with clean cells, without rows that change nothing. A change_datatype other than a survival role is an error."""
+    out = filled_in.select("col_name", "inferred_datatype", filled(F.col("change_datatype")).alias("change_datatype"), filled(F.col("survival_label")).alias("survival_label"), flag(F.col("remove")).alias("remove"))
+    out = out.where("remove or change_datatype is not null or survival_label is not null")
+    if odd := [r[0] for r in out.where(F.col("change_datatype").isNotNull() & ~F.col("change_datatype").isin(*naming.SURVIVAL_ROLES)).select("change_datatype").distinct().collect()]:
+        raise EditError(f"unknown survival roles: {odd}")
+    return out
+
+
 def survival_pairs(meta: DataFrame) -> DataFrame:
     """surv_label, event_col, time_col. Each label needs two rows, one of type Event and one of type Time (change_datatype overrides what was inferred); rows without a label are ignored."""
     kind = F.coalesce("change_datatype", "inferred_datatype")

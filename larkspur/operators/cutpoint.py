@@ -154,7 +154,7 @@ def bonferroni(scanned: DataFrame) -> tuple:
 
 
 def lausen_schumacher(scanned: DataFrame, least_fraction: float = 0.1) -> tuple:
-    """Davies' bound on the largest standardised statistic between two group fractions, folded to the smaller side."""
+    """Davies' bound on the largest standardised statistic between two group fractions, folded to the smaller side. A least p of 0 stays 0, as the bound has no value there."""
     rows = [(r, f) for r in _valid(scanned) if least_fraction <= (f := r.group0_n / (r.group0_n + r.group1_n)) <= 1 - least_fraction]
     if not rows:
         raise ValueError("no threshold leaves such fractions")
@@ -163,8 +163,10 @@ def lausen_schumacher(scanned: DataFrame, least_fraction: float = 0.1) -> tuple:
     low, high = max(min(folded), 1 / n), max(folded)
     best = min((r for r, _ in rows), key=lambda r: r.log_rank_p)
     p = best.log_rank_p
-    b = dist.NORMAL.inv_cdf(1 - p / 2) if 0 < p < 1 else (0.0 if p >= 1 else math.inf)
-    if not math.isfinite(b) or b <= 0:
+    b = -dist.NORMAL.inv_cdf(p / 2) if 0 < p < 1 else (0.0 if p >= 1 else math.inf)  # from the lower tail, where a small p keeps its digits
+    if not math.isfinite(b):
+        adjusted = p
+    elif b <= 0:
         adjusted = 1.0
     else:
         density = dist.NORMAL.pdf(b)

@@ -33,7 +33,7 @@ def event_flag(c: Column) -> Column:
 def survival_frame(df: DataFrame, time: str, event: str, group: str | None = None, lenient: bool = False) -> DataFrame:
     """time double, event boolean and, if asked, group, without rows that lack time or event.
 
-    Unless lenient (then ``event_flag``), an event other than boolean or 0 and 1 is an error, as are negative or non-numeric times."""
+    Unless lenient (then ``event_flag``), an event other than boolean or 0 and 1 is an error, as are negative or non-numeric times; rows that lack time or event are not looked at."""
     kinds = {f.name: f.dataType for f in df.schema}
     if missing := [c for c in (time, event, group) if c and c not in kinds]:
         raise SurvivalInputError(f"missing columns: {missing}")
@@ -44,7 +44,8 @@ def survival_frame(df: DataFrame, time: str, event: str, group: str | None = Non
         raise SurvivalInputError(f"{event} is neither boolean nor 0 and 1")
     t = F.col(time).cast("double")
     odd = F.lit(False) if lenient or isinstance(kinds[event], T.BooleanType) else ~F.col(event).isin(0, 1)
-    bad = df.agg(F.max((t < 0).cast("int")), F.max(odd.cast("int"))).first()
+    whole = t.isNotNull() & ~F.isnan(t) & (flag.isNotNull() if lenient else F.col(event).isNotNull())
+    bad = df.where(whole).agg(F.max((t < 0).cast("int")), F.max(odd.cast("int"))).first()
     if bad[0]:
         raise SurvivalInputError("negative durations")
     if bad[1]:
@@ -155,16 +156,16 @@ def split_validity(surv: DataFrame) -> DataFrame:
 def baseline(counts: dict[str, int], which: str = "largest") -> list[str]:
     """Labels, the baseline first. counts in the order in which groups count as first seen (ours: by label).
 
-    Of equal groups, largest takes the first; smallest the second of two, and the first of more."""
+    Of equal groups, largest takes the first; smallest the second of two, and the first of more. A group called like a rule has to be chosen by the rule."""
     names = list(counts)
-    if which in names:
-        chosen = which
-    elif which == "largest":
+    if which == "largest":
         chosen = max(names, key=counts.get)
     elif which == "smallest":
         chosen = min(reversed(names) if len(names) == 2 else names, key=counts.get)
     elif which in ("first", "second") and len(names) == 2:
         chosen = names[which == "second"]
+    elif which in names:
+        chosen = which
     else:
         raise ValueError(f"no baseline {which!r} among {names}")
     return [chosen, *(n for n in names if n != chosen)]
@@ -204,6 +205,38 @@ def logrank_pairwise(surv: DataFrame, first, others: list) -> DataFrame:
     return out.withColumn("chi2", (F.col("observed") - F.col("expected")) ** 2 / F.col("variance"))
 
 
+TESTS = (
+    "group string, baseline string, n long, baseline_n long, split_ratio double, chi2 double, p_value double, p_label string, median double, median_ci_low double, median_ci_high double, "
+    "baseline_median double, baseline_median_ci_low double, baseline_median_ci_high double, follow_up double, baseline_follow_up double, split_valid boolean, invalid_reason string"
+)
+
+
+def logrank_tests(surv: DataFrame, first, others: list) -> DataFrame:
+    """TESTS, a row for each other group against the first: sizes, log-rank test, medians with limits and median follow-up of both. A group that is unfit to compare (``split_validity``) keeps its row, without a test."""
+    own = surv.where(F.col("group").isin([first, *others]))
+    valid = {r.group: r for r in split_validity(own).collect()}  # a row per group, as below
+    median = {r.group: r for r in medians(km_curve(event_table(own, ["group"]), ["group"]), ["group"]).collect()}
+    follow = {r.group: r.median for r in medians(km_curve(event_table(own, ["group"], reverse=True), ["group"]), ["group"]).collect()}
+    chi2 = {r.group: r.chi2 for r in logrank_pairwise(own, first, others).collect()}
+    rows = []
+    for g in others:
+        reason = next((valid[x].reason if x in valid else "group_size_1" for x in (first, g) if x not in valid or valid[x].reason), None)
+        size, base = (valid[x].n if x in valid else 0 for x in (g, first))
+        x = chi2.get(g) if reason is None else None
+        p = dist.chi2_tail(x, 1) if x is not None else None
+        limits = [median[k][c] if k in median else None for k in (g, first) for c in ("median", "ci_low", "ci_high")]
+        rows.append((str(g), str(first), size, base, base / size if size else None, x, p, labels.p_label(p) if p is not None else None, *limits, follow.get(g), follow.get(first), reason is None, reason))
+    return surv.sparkSession.createDataFrame(rows, TESTS)
+
+
+def combined_tests(surv: DataFrame, groups: list) -> DataFrame:
+    """For each group but the first (the baseline): ``logrank_tests``, hazard ratio with limits and p (cox_ prefix), and the test of all groups together (omnibus_ prefix)."""
+    cox = cox_hazards(surv, groups).select("group", F.col("hr"), "ci_low", "ci_high", F.col("p_value").alias("cox_p"), F.col("p_label").alias("cox_p_label"), "interpretation")
+    every = logrank_omnibus(surv, groups)
+    out = logrank_tests(surv, groups[0], groups[1:]).join(cox, "group")
+    return out.withColumns({f"omnibus_{k}": F.lit(v) for k, v in every.items()})
+
+
 def _matrices(surv: DataFrame, groups: list) -> tuple[np.ndarray, np.ndarray]:
     """Events and risk sets of each group at each event time; the rows are bounded by the distinct times."""
     rows = risk_table(surv, groups).orderBy("time").collect()

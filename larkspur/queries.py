@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import naming
+from larkspur.functions import dist, naming
 from larkspur.operators import curate, cutpoint, describe, normality, plotdata, profile, relational, survival, tables
 
 QUERIES: dict = {}
@@ -70,20 +70,25 @@ NUMBERS = {
 def summary_sql(name: str, columns: list[str]) -> str:
     def one(c: str) -> str:
         q = ", ".join(f"round(quantile_cont(v, {p}), 6) AS {k}" for k, p in describe.QUANTILES.items())
-        return f"""SELECT '{c}' AS name, count(v) AS n, count(DISTINCT v) AS unique_n, count(*) - count(v) AS missing_n, round(100.0 * (count(*) - count(v)) / count(*), 2) AS missing_pct, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
+        return f"""SELECT '{c}' AS name, count(v) AS n, count(DISTINCT v) AS unique_n, count(*) - count(v) AS missing_n, round(100.0 * (count(*) - count(v)) / count(*), 2) AS missing_pct, round(round(avg(v), 9), 6) AS mean, round(stddev_samp(v), 6) AS std,
         {q}, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(min(v), 6) AS min, round(max(v), 6) AS max FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {name})"""
 
     return " UNION ALL ".join(map(one, columns))
 
 
+def summary(df: DataFrame) -> DataFrame:
+    """Means are rounded to 9 places first: those of prices may end in exactly 5 at the 7th, where the last bit of a sum would decide."""
+    return rounded(describe.numerical_summary(df).withColumn("mean", F.round("mean", 9)))
+
+
 @query(summary_sql("lineitem", NUMBERS["lineitem"]))
 def num_summary_lineitem(spark, sf_dir):
-    return rounded(describe.numerical_summary(table(spark, sf_dir, "lineitem").select(*NUMBERS["lineitem"])))
+    return summary(table(spark, sf_dir, "lineitem").select(*NUMBERS["lineitem"]))
 
 
 @query(summary_sql("customer", NUMBERS["customer"]))
 def num_summary_customer(spark, sf_dir):
-    return rounded(describe.numerical_summary(table(spark, sf_dir, "customer").select(*NUMBERS["customer"])))
+    return summary(table(spark, sf_dir, "customer").select(*NUMBERS["customer"]))
 
 
 def distribution_sql(name: str, columns: list[str]) -> str:
@@ -186,6 +191,17 @@ def jarque_bera_quantity(spark, sf_dir):
     return normality.moments(table(spark, sf_dir, "lineitem"), ["l_quantity"]).select("name", F.round(normality.jarque_bera(), 4).alias("jb"))
 
 
+@query(f"""{QUANTITY}, k AS (SELECT n, sk * sqrt((n + 1.0) * (n + 3) / (6.0 * (n - 2))) AS y, 3.0 * (n * 1.0 * n + 27.0 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)) AS b2,
+  (ku + 3 - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) * (n + 1) * (n + 3) * (n + 5))) AS x, 6.0 * (n * 1.0 * n - 5.0 * n + 2) / ((n + 7.0) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * 1.0 * (n - 2) * (n - 3))) AS g FROM q),
+  w AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6 + 8 / g * (2 / g + sqrt(1 + 4 / (g * g))) AS a FROM k),
+  z AS (SELECT asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS zs, (1 - 2 / (9 * a) - sign((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))) * pow(abs((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))), 1.0 / 3)) / sqrt(2 / (9 * a)) AS zk FROM w)
+  SELECT 'l_quantity' AS name, round(zs, 4) AS skew_z, round(zk, 4) AS kurtosis_z, round(zs * zs + zk * zk, 4) AS k2 FROM z""")
+def dagostino_quantity(spark, sf_dir):
+    r = normality.moments(table(spark, sf_dir, "lineitem"), ["l_quantity"]).first()  # one row
+    zs, zk = dist.skew_z(r.skewness, r.n), dist.kurtosis_z(r.kurtosis_excess, r.n)
+    return rounded(spark.createDataFrame([(r.name, zs, zk, zs * zs + zk * zk)], "name string, skew_z double, kurtosis_z double, k2 double"), 4)
+
+
 @query(f"{BALANCE} SELECT 'c_acctbal' AS name, CASE WHEN n < 20 THEN 'low power' WHEN n <= 300 THEN 'moderate power' ELSE 'high power / oversensitive' END AS power_regime, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis_excess FROM q")
 def shape_balance(spark, sf_dir):
     return rounded(normality.shape(table(spark, sf_dir, "customer"), ["c_acctbal"]).select("name", "power_regime", "skewness", "kurtosis_excess"))
@@ -329,6 +345,21 @@ def logrank_pairwise(spark, sf_dir):
     return rounded(survival.logrank_pairwise(cohort(spark, sf_dir), "2-HIGH", [g for g in GROUPS if g != "2-HIGH"]))
 
 
+@query()
+def logrank_tests(spark, sf_dir):
+    return rounded(survival.logrank_tests(cohort(spark, sf_dir), "2-HIGH", [g for g in GROUPS if g != "2-HIGH"]))
+
+
+@query()
+def combined_tests_pair(spark, sf_dir):
+    return rounded(survival.combined_tests(cohort(spark, sf_dir), ["1-URGENT", "5-LOW"]))
+
+
+@query()
+def combined_tests_multi(spark, sf_dir):
+    return rounded(survival.combined_tests(cohort(spark, sf_dir), GROUPS))
+
+
 @query()
 def logrank_omnibus(spark, sf_dir):
     out = survival.logrank_omnibus(cohort(spark, sf_dir), GROUPS)
@@ -414,6 +445,13 @@ def surv_pairs(spark, sf_dir):
     return curate.survival_pairs(meta)
 
 
+@query("""SELECT * FROM (VALUES ('os_status', 'Time', 'os', false), ('old_months', NULL, NULL, true)) AS t(col_name, change_datatype, survival_label, remove)""")
+def survival_edits_parsed(spark, sf_dir):
+    report = curate.survival_report(profile.survival_profiles(spark, ["os_status", "pfs time", "old_months"]))
+    typed = report.withColumn("change_datatype", F.when(F.col("col_name") == "os_status", " Time ")).withColumn("survival_label", F.when(F.col("col_name") == "os_status", "os").otherwise(" ")).withColumn("remove", F.col("col_name") == "old_months")
+    return curate.survival_edits(typed).drop("inferred_datatype")
+
+
 @query(distribution_sql("orders", ["o_orderstatus", "o_orderpriority"]).replace("'o_orderstatus'", "'status'"))
 def category_report_orders(spark, sf_dir):
     return curate.category_report(table(spark, sf_dir, "orders"), ["status", "o_orderpriority"], {"status": "o_orderstatus"}).drop("rename_to", "remove")

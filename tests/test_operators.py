@@ -280,3 +280,37 @@ def test_plot_data(spark):
     curve = survival.km_curve(survival.event_table(frame(spark)))
     assert plotdata.km_steps(curve).orderBy("time").first().s == 1
     assert plotdata.histogram(df.where("false"), "x").count() == 0
+
+
+def test_small_p_keeps_its_digits(spark):
+    schema = "threshold double, log_rank_p double, valid_split boolean, group0_n long, group1_n long"
+    for p in (1e-18, 1e-300):
+        scanned = spark.createDataFrame([(1.0, 0.5, True, 30, 70), (2.0, p, True, 50, 50), (3.0, 0.2, True, 70, 30)], schema)
+        _, raw, adjusted, cut, n, _ = cutpoint.lausen_schumacher(scanned)
+        assert raw == p and p <= adjusted < 1e3 * p and (cut, n) == (2.0, 3)
+    assert cutpoint.lausen_schumacher(spark.createDataFrame([(1.0, 0.5, True, 30, 70), (2.0, 0.0, True, 50, 50)], schema))[2] == 0
+
+
+def test_checks_skip_rows_without_time_or_event(spark):
+    rows = spark.createDataFrame([(1.0, 1), (-2.0, None), (None, 7), (3.0, 0)], "t double, e int")
+    assert survival.survival_frame(rows, "t", "e").count() == 2
+
+
+def test_keywords_go_before_labels():
+    assert survival.baseline({"largest": 1, "b": 5}, "largest")[0] == "b" and survival.baseline({"a": 1, "b": 5}, "a")[0] == "a"
+
+
+def test_tests_of_groups(spark):
+    rows = [(float(t), t % 3 > 0, "a") for t in range(1, 41)] + [(t / 2, t % 4 > 0, "b") for t in range(1, 41)] + [(5.0, True, "c")]
+    surv = spark.createDataFrame(rows, "time double, event boolean, group string").cache()
+    got = {r.group: r for r in survival.combined_tests(surv, ["a", "b"]).collect()}["b"]
+    chi2 = survival.logrank_pair(surv, "a", "b").first().chi2
+    assert got.chi2 == pytest.approx(chi2) and got.p_value == pytest.approx(math.erfc(math.sqrt(chi2 / 2))) and got.omnibus_chi2 == pytest.approx(chi2)
+    assert (got.n, got.baseline_n, got.split_ratio, got.split_valid) == (40, 40, 1.0, True) and got.median < got.baseline_median and got.hr > 1
+    unfit = {r.group: r for r in survival.logrank_tests(surv, "a", ["b", "c"]).collect()}["c"]
+    assert unfit.p_value is None and unfit.invalid_reason == "group_size_1" and not unfit.split_valid
+
+
+def test_survival_edits(spark):
+    with pytest.raises(curate.EditError):
+        curate.survival_edits(spark.createDataFrame([("a", "Time", "Numerical", None, None)], "col_name string, inferred_datatype string, change_datatype string, survival_label string, remove string"))
