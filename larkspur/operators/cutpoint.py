@@ -1,9 +1,10 @@
 """Cut-point search: a survival comparison at every threshold of a numeric covariate.
 
-Subjects are counted by (threshold interval, time) in Spark, so what remains is bounded by
-thresholds times distinct times. The low side of a threshold is the sum of the intervals up to it:
-prefix sums give all thresholds' risk sets at once, and log-rank and Cox follow for all of them
-together. Observed thresholds beyond ``max_thresholds`` are thinned to an even grid of ranks.
+Subjects are counted by (threshold interval, time) in Spark. The low side of a threshold is the sum of
+the intervals up to it. A scan cuts the sorted thresholds into blocks of ``BLOCK``; a window over the
+blocks gives each the counts before it, and one task for each block adds its own intervals and makes
+all comparisons of the block. A task holds a block's counts and the distinct times, whatever the number
+of subjects; the driver holds one number for each block.
 """
 
 from __future__ import annotations
@@ -11,15 +12,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import dist, labels
-from larkspur.operators.survival import cox_fit
+from larkspur.operators.ranks import quantile, running
+from larkspur.operators.survival import cox_many, event_table, km_curve
 
-MAX_THRESHOLDS = 2000
-SCAN = "threshold double, group0_label string, group1_label string, valid_split boolean, reason string, group0_n long, group1_n long, split_ratio double, chi2 double, log_rank_p double, hr double, ci_low double, ci_high double, cox_p double, p_label string"
+BLOCK = 512
+TASKS = 10000
+CELLS = 1 << 17  # thresholds x times compared at once
+SCAN = (
+    "threshold double, group0_label string, group1_label string, valid_split boolean, reason string, group0_n long, group1_n long, split_ratio double, chi2 double, log_rank_p double, hr double, ci_low double, ci_high double, "
+    "cox_p double, p_label string, group0_median double, group1_median double, group0_follow_up double, group1_follow_up double"
+)
 
 
 def fenced(values: np.ndarray, iqr_multiplier: float | None = 1.5, trim_percent: float = 0.0) -> np.ndarray:
@@ -33,26 +41,60 @@ def fenced(values: np.ndarray, iqr_multiplier: float | None = 1.5, trim_percent:
     return values[cut : len(values) - cut]
 
 
-def thresholds(df: DataFrame, covariate: str, resolution: float | None = None, iqr_multiplier: float | None = 1.5, trim_percent: float = 0.0, max_thresholds: int = MAX_THRESHOLDS) -> np.ndarray:
-    """resolution None: the observed values but the largest; else a grid from the least to the largest value."""
-    if resolution is not None and resolution <= 0:
+def _known(df: DataFrame, covariate: str) -> DataFrame:
+    x = F.col(covariate).cast("double")
+    return df.where(x.isNotNull() & ~F.isnan(x)).select(F.lit("x").alias("k"), x.alias("x")).groupBy("k", "x").agg(F.count("*").alias("c"))
+
+
+def observed_range(df: DataFrame, covariate: str, iqr_multiplier: float | None = 1.5, trim_percent: float = 0.0) -> tuple[float, float] | None:
+    """The least and largest of the observed candidates: all distinct values but the largest, fenced and trimmed as by ``fenced``; every distinct value between them is a candidate. None without a value."""
+    freq = _known(df, covariate)
+    ranked = running(freq.withColumn("one", F.lit(1)), "k", "x", "one", "rank").persist()
+    n = ranked.count()
+    if not n:
+        return None
+    some = ranked.where(F.col("rank") < max(n, 2))
+    size = F.lit(max(n - 1, 1))
+    inside = F.lit(True)
+    if iqr_multiplier:
+        q1, q3 = some.agg(quantile(0.25, size, F.col("x"), F.col("rank")), quantile(0.75, size, F.col("x"), F.col("rank"))).first()
+        reach = iqr_multiplier * (q3 - q1)
+        inside = F.col("x").between(q1 - reach, q3 + reach)
+    low, high = some.where(inside).agg(F.min("rank"), F.max("rank")).first()
+    if low is None:
+        low, high = 1, max(n - 1, 1)
+    cut = min(math.floor((high - low + 1) * trim_percent / 100), max(0, (high - low) // 2))
+    ends = some.where(F.col("rank").isin(low + cut, high - cut)).agg(F.min("x"), F.max("x")).first()
+    ranked.unpersist()
+    return ends[0], ends[1]
+
+
+def observed_thresholds(df: DataFrame, covariate: str, iqr_multiplier: float | None = 1.5, trim_percent: float = 0.0) -> DataFrame:
+    """threshold: every observed candidate."""
+    found = observed_range(df, covariate, iqr_multiplier, trim_percent)
+    values = _known(df, covariate).select(F.col("x").alias("threshold"))
+    return values.where(F.col("threshold").between(*found) if found else F.lit(False))
+
+
+def thresholds(df: DataFrame, covariate: str, resolution: float | None = None, iqr_multiplier: float | None = 1.5, trim_percent: float = 0.0) -> np.ndarray:
+    """On the driver: a grid from the least to the largest value, or (resolution None) the observed candidates."""
+    if resolution is None:
+        return np.sort([r.threshold for r in observed_thresholds(df, covariate, iqr_multiplier, trim_percent).collect()])
+    if resolution <= 0:
         raise ValueError("the resolution must be above 0")
     x = F.col(covariate).cast("double")
-    known = df.where(x.isNotNull() & ~F.isnan(x))
-    if resolution is not None:
-        low, high = known.agg(F.min(x), F.max(x)).first()
-        if low is None:
-            return np.empty(0)
-        grid = low + resolution * np.arange(math.floor((high - low) / resolution + 1e-9) + 1)
-        return fenced(grid[grid <= high + 1e-9], iqr_multiplier, trim_percent)
-    distinct = known.select(x.alias("x")).distinct()
-    n = distinct.count()
-    if n <= max_thresholds + 1:
-        values = np.sort([r.x for r in distinct.collect()])
-    else:
-        grid = distinct.agg(F.percentile_approx("x", [i / max_thresholds for i in range(max_thresholds + 1)], 10 * max_thresholds)).first()[0]
-        values = np.unique(grid)
-    return fenced(values[:-1] if len(values) > 1 else values, iqr_multiplier, trim_percent)
+    low, high = df.where(x.isNotNull() & ~F.isnan(x)).agg(F.min(x), F.max(x)).first()
+    if low is None:
+        return np.empty(0)
+    grid = low + resolution * np.arange(math.floor((high - low) / resolution + 1e-9) + 1)
+    return fenced(grid[grid <= high + 1e-9], iqr_multiplier, trim_percent)
+
+
+def median(df: DataFrame, covariate: str) -> float | None:
+    """Exact, over running counts."""
+    freq = _known(df, covariate)
+    n = freq.agg(F.sum("c")).first()[0]
+    return running(freq, "k", "x", "c").agg(quantile(0.5, F.lit(n), F.col("x"), F.col("cum"))).first()[0] if n else None
 
 
 def interval_table(df: DataFrame, covariate: str, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,37 +125,121 @@ def logrank_scan(d: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.divide(u * u, v, out=np.full(len(u), np.nan), where=v > 0)
 
 
-def scan(df: DataFrame, covariate: str, cuts: np.ndarray, alpha: float = 0.05) -> DataFrame:
-    """SCAN, a row per threshold; df has time, event and the covariate. A threshold that leaves a side unfit keeps its row, with the reason."""
+def _least_cut(x: Column, low: float, high: float, middle: float) -> Column:
+    """The least of the cuts (every value between low and high, and middle) that is not below x; null beyond all of them."""
+    return F.when((x <= middle) & ((x > high) | (F.lit(middle) < low)), F.lit(middle)).when(x <= low, F.lit(low)).when(x <= high, x)
+
+
+def _placed(surv: DataFrame, column: str, cuts: np.ndarray, name: str) -> DataFrame:
+    """surv with name: the number of cuts below the column's value."""
+    def place(batches):
+        for b in batches:
+            x = b.column(column).to_numpy(zero_copy_only=False).astype(float)
+            at = np.where(np.isnan(x), len(cuts), np.searchsorted(cuts, x, "left"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int64))], [*b.schema.names, name])
+
+    return surv.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in surv.dtypes) + f", {name} long")
+
+
+def scan(df: DataFrame, covariate: str, cuts: np.ndarray | list | None = None, alpha: float = 0.05, iqr_multiplier: float | None = 1.5, trim_percent: float = 0.0) -> DataFrame:
+    """SCAN, a row per threshold; df has time, event and the covariate. Without cuts: all observed candidates (``observed_range``) and the median.
+
+    A subject without a covariate is on the high side. A threshold that leaves a side unfit keeps its row, with the reason and without a test. A median that is never reached is infinite."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
     spark = df.sparkSession
-    cuts = np.unique(np.asarray(cuts, float))
-    _, d, m = interval_table(df, covariate, cuts)
-    if not d.shape[1] or not len(cuts):
-        return spark.createDataFrame([], SCAN)
-    chi2, z, rows = logrank_scan(d, m), dist.NORMAL.inv_cdf(1 - alpha / 2), []
-    low_d, low_m = np.cumsum(d, axis=0)[:-1], np.cumsum(m, axis=0)[:-1]
-    all_d, all_m = d.sum(axis=0), m.sum(axis=0)
-    for i, cut in enumerate(cuts):
-        sides = [(low_d[i], low_m[i]), (all_d - low_d[i], all_m - low_m[i])]
-        sizes = [int(y.sum()) for _, y in sides]
-        reason = "one_side_empty" if 0 in sizes else None
-        for x, y in sides:
-            reason = reason or ("group_size_1" if y.sum() <= 1 else "no_events" if not x.sum() else "no_censoring" if x.sum() == y.sum() else None)
-        row = [float(cut), f"<={cut:.2f}", f">{cut:.2f}", reason is None, reason, *sizes, sizes[0] / sizes[1] if sizes[1] else None]
-        if reason is None:
-            risk = np.array([np.cumsum(y[::-1])[::-1] for _, y in sides]).T
-            events = np.array([x for x, _ in sides]).T
-            due = events.sum(axis=1) > 0
-            beta, cov, _, _ = cox_fit(events[due], risk[due])
-            se = float(np.sqrt(cov[0, 0]))
-            p = dist.normal_tail(beta[0] / se) if se > 0 else math.nan
-            row += [float(chi2[i]), dist.chi2_tail(float(chi2[i]), 1), float(np.exp(beta[0])), float(np.exp(beta[0] - z * se)), float(np.exp(beta[0] + z * se)), p, labels.p_label(p)]
-        else:
-            row += [None] * 7
-        rows.append(tuple(row))
-    return spark.createDataFrame(rows, SCAN)
+    x = F.col(covariate).cast("double")
+    surv = df.select(F.col("time").cast("double").alias("time"), F.col("event").cast("boolean").alias("event"), F.when(~F.isnan(x), x).alias("x"))
+    if cuts is None:
+        found = observed_range(surv, "x", iqr_multiplier, trim_percent)
+        if not found:
+            return spark.createDataFrame([], SCAN)
+        extra = [median(surv, "x")]
+        rows = surv.withColumn("cut", _least_cut(F.col("x"), *found, *extra))
+    else:
+        extra = [float(c) for c in np.unique(np.asarray(cuts, float))]
+        if not extra:
+            return spark.createDataFrame([], SCAN)
+        rows = _placed(surv, "x", np.array(extra), "at").withColumn("cut", F.get(F.lit(extra), F.col("at").cast("int")))
+    counts = rows.groupBy("cut", "time").agg(F.sum(F.col("event").cast("long")).alias("d"), F.count("*").alias("m"))
+    empty = spark.createDataFrame([(c, None, 0, 0) for c in extra], "cut double, time double, d long, m long")  # cuts at which no subject need be
+    points = counts.unionByName(empty).where("cut is not null")
+    ranked = running(points.select(F.lit("x").alias("k"), "cut").distinct().withColumn("one", F.lit(1)), "k", "cut", "one", "rank")
+    edges = np.sort([r.cut for r in ranked.where(F.col("rank") % BLOCK == 0).collect()])
+    points = _placed(points, "cut", edges, "block")
+    totals = counts.groupBy("time").agg(F.sum("d").alias("all_d"), F.sum("m").alias("all_m"))
+    own = points.where("time is not null").groupBy("block", "time").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
+    every = totals.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(edges))))).withColumn("block", F.col("block").cast("long"))
+    before = Window.partitionBy("time").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = every.join(own, ["block", "time"], "left").select("block", "time", "all_d", "all_m", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("d", "m")))
+    tasks = min(len(edges) + 1, TASKS)  # by number, as few bytes would be put into one task, and the work is thresholds x times
+    return points.repartition(tasks, "block").groupBy("block").cogroup(base.repartition(tasks, "block").groupBy("block")).applyInPandas(_comparisons(dist.NORMAL.inv_cdf(1 - alpha / 2)), SCAN)
+
+
+def _crossing(time: np.ndarray, d: np.ndarray, risk: np.ndarray) -> np.ndarray:
+    """The first time at which each row's survival is 0.5 or less."""
+    s = np.cumprod(1 - np.divide(d, risk, out=np.zeros(d.shape), where=risk > 0), axis=1)
+    due = s <= 0.5
+    return np.where(due.any(axis=1), time[due.argmax(axis=1)], math.inf)
+
+
+def _comparisons(z: float):
+    def run(points: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in SCAN.split(", ")]
+        base = base.sort_values("time")
+        time, d, m = base["time"].to_numpy(), base["all_d"].to_numpy(float), base["all_m"].to_numpy(float)
+        if not len(points) or not len(time):
+            return pd.DataFrame(columns=names)
+        cuts, at = np.unique(points["cut"].to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        at, counted = at[order], points["time"].notna().to_numpy()[order]
+        column = np.searchsorted(time, points["time"].to_numpy()[order])
+        own_d, own_m = points["d"].to_numpy(float)[order], points["m"].to_numpy(float)[order]
+        last_d, last_m, out = base["d"].to_numpy(float), base["m"].to_numpy(float), []
+        width = max(1, CELLS // len(time))
+        for first in range(0, len(cuts), width):
+            some = cuts[first : first + width]
+            mine = slice(*np.searchsorted(at, [first, first + len(some)]))
+            d0, m0 = np.zeros((len(some), len(time))), np.zeros((len(some), len(time)))
+            ok = counted[mine]
+            where = at[mine][ok] - first, column[mine][ok]
+            np.add.at(d0, where, own_d[mine][ok])
+            np.add.at(m0, where, own_m[mine][ok])
+            d0, m0 = np.cumsum(d0, axis=0) + last_d, np.cumsum(m0, axis=0) + last_m
+            last_d, last_m = d0[-1], m0[-1]
+            out.append(_compared(time, some, d, m, d0, m0, z))
+        return pd.concat(out)[names]
+
+    return run
+
+
+def _compared(time, cuts, d, m, d0, m0, z) -> pd.DataFrame:
+    sides = [(d0, m0), (d - d0, m - m0)]
+    sizes, events = [y.sum(axis=1) for _, y in sides], [e.sum(axis=1) for e, _ in sides]
+    reason = np.full(len(cuts), None, object)
+    for e, n in reversed(list(zip(events, sizes, strict=True))):
+        reason = np.where(n <= 1, "group_size_1", np.where(e == 0, "no_events", np.where(e == n, "no_censoring", reason)))
+    reason = np.where((sizes[0] == 0) | (sizes[1] == 0), "one_side_empty", reason)
+    ok = np.equal(reason, None)
+    out = pd.DataFrame({"threshold": cuts, "group0_label": [f"<={c:.2f}" for c in cuts], "group1_label": [f">{c:.2f}" for c in cuts], "valid_split": ok, "reason": reason})
+    out["group0_n"], out["group1_n"] = sizes[0].astype(np.int64), sizes[1].astype(np.int64)
+    out["split_ratio"] = np.divide(sizes[0], sizes[1], out=np.full(len(cuts), np.nan), where=sizes[1] > 0)
+    risk = [np.cumsum(y[:, ::-1], axis=1)[:, ::-1] for _, y in sides]
+    n = risk[0][0] + risk[1][0]
+    share = risk[0] / n
+    factor = np.where(n > 1, d * (n - d) / np.maximum(n - 1, 1), 0.0)
+    u, v = (d0 - d * share).sum(axis=1), (factor * share * (1 - share)).sum(axis=1)
+    chi2 = np.divide(u * u, v, out=np.full(len(cuts), np.nan), where=(v > 0) & ok)
+    beta, se = np.full(len(cuts), np.nan), np.full(len(cuts), np.nan)
+    if ok.any():
+        beta[ok], se[ok] = cox_many(sides[1][0][ok], risk[1][ok], d, n)
+    p = [dist.normal_tail(b / s) if s > 0 else math.nan for b, s in zip(beta, se, strict=True)]
+    out["chi2"], out["log_rank_p"] = chi2, [dist.chi2_tail(float(c), 1) if c == c else math.nan for c in chi2]
+    out["hr"], out["ci_low"], out["ci_high"] = np.exp(beta), np.exp(beta - z * se), np.exp(beta + z * se)
+    out["cox_p"], out["p_label"] = p, [labels.p_label(q) if fit else None for q, fit in zip(p, ok, strict=True)]
+    for i, (e, y) in enumerate(sides):
+        out[f"group{i}_median"], out[f"group{i}_follow_up"] = _crossing(time, e, risk[i]), _crossing(time, y - e, risk[i])
+    return out
 
 
 def markers(scanned: DataFrame, median: float, alpha: float = 0.05) -> DataFrame:
@@ -126,6 +252,24 @@ def markers(scanned: DataFrame, median: float, alpha: float = 0.05) -> DataFrame
     return found.unpivot([], ["Median", "Min P-Val", "Closest to Median"], "label", "threshold")
 
 
+def marked_tests(scanned: DataFrame, marks: DataFrame) -> DataFrame:
+    """label and the scan's row of each marked threshold."""
+    return scanned.join(F.broadcast(marks.where("threshold is not null")), "threshold")  # three marks
+
+
+def marked_curves(df: DataFrame, covariate: str, marks: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """label, group and ``km_curve`` of both sides of each marked threshold, in one plan."""
+    found = sorted((r.label, r.threshold) for r in marks.where("threshold is not null").collect())
+    if not found:
+        raise ValueError("no threshold is marked")
+    sides = [at_cutoff(df, covariate, cut).withColumn("label", F.lit(label)) for label, cut in found]
+    every = sides[0]
+    for one in sides[1:]:
+        every = every.unionByName(one)
+    keys = ["label", "group"]
+    return km_curve(event_table(every, keys), keys, alpha)
+
+
 def best_threshold(scanned: DataFrame) -> DataFrame:
     """The row of the least log-rank p. A least p is not a p-value: correct it for the number of thresholds."""
     return scanned.where("valid_split").orderBy("log_rank_p", "threshold").limit(1)

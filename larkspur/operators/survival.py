@@ -259,33 +259,43 @@ def logrank_omnibus(surv: DataFrame, groups: list) -> dict[str, float]:
 NEAR = 16
 
 
-def tied_sums(x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of log(x + j), 1 / (x + j) and 1 / (x + j)**2 over j = 0 .. d - 1, elementwise, for x >= 1.
-
-    The first terms are added one by one and the rest by the asymptotic series of log-gamma and its derivatives about half-integers, so time and memory do not depend on d."""
-    logs, first, second = np.zeros(x.shape), np.zeros(x.shape), np.zeros(x.shape)
-    for j in range(int(min(NEAR, d.max(initial=0)))):
-        term, due = x + j, j < d
-        logs += np.where(due, np.log(term), 0.0)
-        first += np.where(due, 1 / term, 0.0)
-        second += np.where(due, 1 / (term * term), 0.0)
-    more = np.maximum(d - NEAR, 0.0)
-    if more.any():
-        start, end = x + NEAR - 0.5, x + NEAR - 0.5 + more
-
-        def tail(z):
-            i = 1 / (z * z)
-            return (
-                (-1 / 24 + i * (7 / 2880 - i * (31 / 40320 - i * 127 / 215040))) / z,
-                i * (1 / 24 - i * (7 / 960 - i * (31 / 8064 - i * 127 / 30720))),
-                -i / z * (1 / 12 - i * (7 / 240 - i * (31 / 1344 - i * 127 / 3840))),
-            )
-
-        here, there, grown = tail(start), tail(end), np.log1p(more / start)
-        logs += start * grown + more * np.log(end) - more + there[0] - here[0]
-        first += grown + there[1] - here[1]
-        second += more / (start * end) + here[2] - there[2]
-    return logs, first, second
+def tied_sums(x: np.ndarray, d: np.ndarray, logs: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Sums of log(x + j) (if asked), 1 / (x + j) and 1 / (x + j)**2 over j = 0 .. d - 1, elementwise, for x >= 1.
+
+    By the asymptotic series of log-gamma and its derivatives about half-integers, so time and memory do not depend on d. Where x is small its first terms are added one by one and the series starts behind them."""
+    near = (x < NEAR) & (d > 0)
+    low, short = x[near], d[near]
+    start = np.where(near, x + np.minimum(NEAR, d), x) - 0.5
+    more = np.where(near, np.maximum(d - NEAR, 0.0), d)
+    end = start + more
+    i, k = 1 / (start * start), 1 / (end * end)
+    grown = np.log1p(more / start)
+
+    def first_tail(i):
+        return i * (1 / 24 - i * (7 / 960 - i * (31 / 8064 - i * (127 / 30720))))
+
+    def second_tail(z, i):
+        return i / z * (1 / 12 - i * (7 / 240 - i * (31 / 1344 - i * (127 / 3840))))
+
+    def log_tail(z, i):
+        return (-1 / 24 + i * (7 / 2880 - i * (31 / 40320 - i * (127 / 215040)))) / z
+
+    first = grown + first_tail(k) - first_tail(i)
+    second = more / (start * end) - second_tail(start, i) + second_tail(end, k)
+    total = start * grown + more * np.log(end) - more + log_tail(end, k) - log_tail(start, i) if logs else None
+    if len(low):
+        sums = np.zeros((3, len(low)))
+        for j in range(int(min(NEAR, short.max()))):
+            term, due = low + j, j < short
+            sums[1] += np.where(due, 1 / term, 0.0)
+            sums[2] += np.where(due, 1 / (term * term), 0.0)
+            if logs:
+                sums[0] += np.where(due, np.log(term), 0.0)
+        first[near] += sums[1]
+        second[near] += sums[2]
+        if logs:
+            total[near] += sums[0]
+    return total, first, second
 
 
 def cox_fit(d: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray, float, bool]:
@@ -332,37 +342,41 @@ def cox_many(d1: np.ndarray, n1: np.ndarray, d: np.ndarray, n: np.ndarray, steps
     d, n: events and subjects at risk by event time, of all subjects; d1, n1: of the second side, a row per split. Time and memory are splits x event times for each step."""
     due = d > 0
     d1, n1, d, n = d1[:, due], n1[:, due], d[due], n[due]
-    beta, open_ = np.zeros(len(d1)), np.arange(len(d1))
+    own, beta, open_ = d1.sum(axis=1), np.zeros(len(d1)), np.arange(len(d1))
 
-    def at(b: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def at(b: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and information."""
         e = np.exp(b)[:, None]
-        risk, events = n - n1[rows] + n1[rows] * e, d - d1[rows] + d1[rows] * e
-        logs, first, second = tied_sums(np.maximum(d * risk / events - d + 1, 1.0), np.broadcast_to(d, risk.shape))
-        scale, fixed = d / events, d1[rows] * e / events
-        moved = n1[rows] * e - fixed * risk
-        p = (d * fixed + moved * scale * first).sum(axis=1)
-        pp = (d * fixed * fixed + 2 * fixed * moved * scale * first + (moved * scale) ** 2 * second).sum(axis=1)
-        own = d1[rows].sum(axis=1)
-        return own * b - (logs - d * np.log(scale)).sum(axis=1), own - p, p - pp
-
-    value, gradient, information = at(beta, open_)
+        some_d, some_n = (d1, n1) if len(rows) == len(d1) else (d1[rows], n1[rows])
+        risk, events = n + some_n * (e - 1), d + some_d * (e - 1)
+        scale = d / events
+        _, first, second = tied_sums(np.maximum(scale * risk - d + 1, 1.0), np.broadcast_to(d, risk.shape), logs=False)
+        fixed = some_d * e / events
+        moved = (some_n * e - fixed * risk) * scale
+        kept, shifted = d * fixed, moved * first
+        squares = fixed * (kept + 2 * shifted) + moved * moved * second
+        p = (kept + shifted).sum(axis=1)
+        return own[rows] - p, p - squares.sum(axis=1)
+
+    gradient, information = at(beta, open_)
     spread = information.copy()
     for _ in range(steps):
         with np.errstate(divide="ignore", invalid="ignore"):
             step = np.where(information > 0, gradient / information, 0.0)
-        slack = 1e-12 * np.maximum(1.0, np.abs(value))
-        for _ in range(60):
-            tried = at(beta[open_] + step, open_)
-            worse = (tried[0] < value - slack) & (np.abs(step) >= 1e-12)
-            if not worse.any():
+        tried = at(beta[open_] + step, open_)
+        for _ in range(60):  # the likelihood is concave, so a shorter step always lessens the gradient
+            worse = np.flatnonzero((np.abs(tried[0]) > np.abs(gradient) + 1e-10 * own[open_]) & (np.abs(step) >= 1e-8))
+            if not len(worse):
                 break
-            step = np.where(worse, step / 2, step)
+            step[worse] /= 2
+            for new, old in zip(at(beta[open_[worse]] + step[worse], open_[worse]), tried, strict=True):
+                old[worse] = new
         beta[open_] += step
-        spread[open_] = tried[2]
-        go = ((np.abs(tried[0] - value) >= np.maximum(1e-10, slack)) | (np.abs(step) >= 1e-8)) & (np.abs(beta[open_]) <= 30)
+        spread[open_] = tried[1]
+        go = (np.abs(step) >= 1e-8) & (np.abs(beta[open_]) <= 30)
         if not go.any():
             break
-        open_, value, gradient, information = open_[go], tried[0][go], tried[1][go], tried[2][go]
+        open_, gradient, information = open_[go], tried[0][go], tried[1][go]
     with np.errstate(divide="ignore", invalid="ignore"):
         return beta, np.where(spread > 0, 1 / np.sqrt(spread), 0.0)
 

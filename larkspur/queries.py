@@ -384,10 +384,13 @@ def endpoint_summary(spark, sf_dir):
 
 # Cut-points.
 
-@query(f"""WITH {COHORT}, v AS (SELECT DISTINCT round(x / 1000) AS x FROM c), w AS (SELECT x FROM v WHERE x < (SELECT max(x) FROM v)), q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM w) SELECT x AS threshold FROM w, q WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
+OBSERVED = f"""{COHORT}, v AS (SELECT DISTINCT x FROM c), w AS (SELECT x FROM v WHERE x < (SELECT max(x) FROM v)), q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM w),
+  o AS (SELECT x AS threshold FROM w, q WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))"""
+
+
+@query(f"WITH {OBSERVED} SELECT threshold FROM o")
 def thresholds_observed(spark, sf_dir):
-    cuts = cutpoint.thresholds(cohort(spark, sf_dir).withColumn("x", F.round(F.col("x") / 1000)), "x")
-    return spark.createDataFrame([(float(c),) for c in cuts], "threshold double")
+    return cutpoint.observed_thresholds(cohort(spark, sf_dir), "x")
 
 
 @query(f"""WITH {COHORT}, b AS (SELECT min(round(x / 1000)) AS lo, max(round(x / 1000)) AS hi FROM c), w AS (SELECT lo + 10 * i AS x FROM b, range(0, 100000) AS r(i) WHERE lo + 10 * i <= hi), q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM w) SELECT CAST(x AS DOUBLE) AS threshold FROM w, q WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
@@ -405,7 +408,24 @@ def cutpoint_logrank_scan(spark, sf_dir):
 
 def _scan(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     surv = cohort(spark, sf_dir)
-    return surv, cutpoint.scan(surv, "x", cutpoint.thresholds(surv, "x", resolution=20000.0))
+    return surv, cutpoint.scan(surv, "x")
+
+
+def _whole(t: str) -> str:
+    return f"CAST(sum({t}) OVER lower AS DOUBLE)"
+
+
+@query(f"""WITH {OBSERVED}, cuts AS (SELECT threshold FROM o UNION SELECT median(x) FROM c), top AS (SELECT max(threshold) AS top FROM cuts),
+  p AS (SELECT (SELECT min(threshold) FROM cuts) AS least, coalesce(x, 'inf'::DOUBLE) AS x, time, event FROM c), a AS (SELECT greatest(least, x) AS x, time, sum(event) AS d, count(*) AS m FROM p, top WHERE greatest(least, x) <= top GROUP BY 1, 2),
+  al AS (SELECT time, sum(event) AS d, count(*) AS m FROM c GROUP BY time), al2 AS (SELECT *, CAST(sum(m) OVER (ORDER BY time DESC) AS DOUBLE) AS n FROM al),
+  g AS (SELECT threshold, al2.time, al2.d, al2.n, {_whole('coalesce(a.d, 0)')} AS d0, {_whole('coalesce(a.m, 0)')} AS m0 FROM cuts CROSS JOIN al2 LEFT JOIN a ON a.x = threshold AND a.time = al2.time WINDOW lower AS (PARTITION BY al2.time ORDER BY threshold)),
+  r AS (SELECT *, sum(m0) OVER (PARTITION BY threshold ORDER BY time DESC) AS n0 FROM g),
+  s AS (SELECT threshold, CAST(sum(m0) AS BIGINT) AS group0_n, (SELECT count(*) FROM c) - CAST(sum(m0) AS BIGINT) AS group1_n, sum(d0) AS e0, (SELECT sum(event) FROM c) - sum(d0) AS e1, sum(d0 - d * n0 / n) AS u, sum(CASE WHEN n > 1 THEN d * (n0 / n) * (1 - n0 / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM r GROUP BY threshold),
+  f AS (SELECT *, group0_n > 1 AND group1_n > 1 AND e0 > 0 AND e1 > 0 AND e0 < group0_n AND e1 < group1_n AS valid_split FROM s)
+  SELECT threshold, valid_split, group0_n, group1_n, CASE WHEN valid_split THEN round(u * u / v, 5) END AS chi2 FROM f""")
+def cutpoint_scan_observed(spark, sf_dir):
+    chi2 = F.when(F.col("valid_split"), F.round("chi2", 5))
+    return _scan(spark, sf_dir)[1].select("threshold", "valid_split", "group0_n", "group1_n", chi2.alias("chi2"))
 
 
 @query()
@@ -416,7 +436,13 @@ def cutpoint_scan(spark, sf_dir):
 @query()
 def cutpoint_markers(spark, sf_dir):
     surv, scanned = _scan(spark, sf_dir)
-    return cutpoint.markers(scanned, surv.agg(F.median("x")).first()[0])
+    return cutpoint.markers(scanned, cutpoint.median(surv, "x"))
+
+
+@query()
+def cutpoint_marked_tests(spark, sf_dir):
+    surv, scanned = _scan(spark, sf_dir)
+    return rounded(cutpoint.marked_tests(scanned, cutpoint.markers(scanned, cutpoint.median(surv, "x"))))
 
 
 @query()
@@ -426,8 +452,9 @@ def cutpoint_best(spark, sf_dir):
 
 @query()
 def cutpoint_corrections(spark, sf_dir):
-    surv, scanned = _scan(spark, sf_dir)
-    return rounded(cutpoint.compared_corrections(surv, "x", scanned, replicates=100).drop("details"))
+    surv = cohort(spark, sf_dir)
+    scanned = cutpoint.scan(surv, "x", cutpoint.thresholds(surv, "x", resolution=20000.0))
+    return rounded(cutpoint.compared_corrections(surv, "x", scanned).drop("details"))
 
 
 # Curation, relational helpers and tables.

@@ -207,6 +207,45 @@ def test_scan_matches_single_comparisons(spark):
         assert r.adjusted_p_value >= r.raw_p_value - 1e-12
 
 
+def test_scan_of_all_observed_values(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.integers(1, 15)), bool(rng.random() < 0.6), None if i % 11 == 0 else float(rng.integers(0, 40))) for i in range(200)]
+    rows += [(1.0, True, 1e6)] * 3
+    df = spark.createDataFrame(rows, "time double, event boolean, x double")
+    x = np.array([r[2] for r in rows if r[2] is not None])
+    want = sorted({*cutpoint.fenced(np.unique(x)[:-1]).tolist(), float(np.median(x))})
+    monkeypatch.setattr(cutpoint, "BLOCK", 7)
+    monkeypatch.setattr(cutpoint, "CELLS", 30)
+    scanned = cutpoint.scan(df, "x").orderBy("threshold").collect()
+    assert [r.threshold for r in scanned] == want and cutpoint.median(df, "x") == np.median(x)
+    for r in scanned[:: len(scanned) // 4]:
+        low, high = r.group0_label, r.group1_label
+        t = survival.logrank_tests(cutpoint.at_cutoff(df, "x", r.threshold), low, [high]).first()
+        assert (r.group0_n, r.group1_n, r.valid_split, r.reason) == (t.baseline_n, t.n, t.split_valid, t.invalid_reason)
+        assert (r.group0_median, r.group1_median, r.group0_follow_up, r.group1_follow_up) == (t.baseline_median, t.median, t.baseline_follow_up, t.follow_up)
+        if r.valid_split:
+            c = survival.cox_hazards(cutpoint.at_cutoff(df, "x", r.threshold), [low, high]).first()
+            assert (r.chi2, r.hr, r.ci_low, r.cox_p) == pytest.approx((t.chi2, c.hr, c.ci_low, c.p_value))
+    assert cutpoint.scan(df.where("x < 0"), "x").count() == 0
+    marks = spark.createDataFrame([("Median", want[3]), ("Min P-Val", None)], "label string, threshold double")
+    assert cutpoint.marked_tests(cutpoint.scan(df, "x", [want[3], 5.5]), marks).first().group0_n == scanned[3].group0_n
+    assert cutpoint.marked_curves(df, "x", marks).select("label", "group").distinct().count() == 2
+
+
+def test_a_median_between_values_is_a_threshold(spark):
+    df = spark.createDataFrame([(float(i + 1), i % 2 == 0, float(x)) for i, x in enumerate((1, 1, 2, 4, 9, 9))], "time double, event boolean, x double")
+    assert [(r.threshold, r.group0_n) for r in cutpoint.scan(df, "x").orderBy("threshold").collect()] == [(1.0, 2), (2.0, 3), (3.0, 3), (4.0, 4)]
+
+
+def test_tied_sums():
+    rng = np.random.default_rng(0)
+    x, d = np.concatenate([rng.uniform(1, 40, 60), [1.0, 1e9]]), np.concatenate([rng.integers(0, 300, 60), [1, 3]]).astype(float)
+    got = survival.tied_sums(x, d)
+    for i in range(len(x)):
+        j = x[i] + np.arange(int(d[i]))
+        assert [g[i] for g in got] == pytest.approx([np.log(j).sum(), (1 / j).sum(), (1 / j**2).sum()], rel=1e-11)
+
+
 def test_missing_covariate_is_high(spark):
     df = spark.createDataFrame([(1.0, True, None), (2.0, False, 1.0), (3.0, True, 1.0), (4.0, False, 2.0)], "time double, event boolean, x double")
     assert sorted(r.group for r in cutpoint.at_cutoff(df, "x", 1.0).collect()) == ["<=1.00", "<=1.00", ">1.00", ">1.00"]
