@@ -291,21 +291,27 @@ def _valid(scanned: DataFrame) -> list:
     return rows
 
 
+def _least(scanned: DataFrame):
+    """k thresholds, the best (log_rank_p, threshold), n subjects, and the least and largest share of the smaller side: one aggregate of the scan."""
+    share = F.col("group0_n") / (F.col("group0_n") + F.col("group1_n"))
+    folded = F.least(share, 1 - share)
+    best = F.min(F.when(F.col("log_rank_p").isNotNull(), F.struct("log_rank_p", "threshold")))
+    r = scanned.where("valid_split").agg(F.count("*").alias("k"), best.alias("best"), F.max(F.col("group0_n") + F.col("group1_n")).alias("n"), F.min(folded).alias("low"), F.max(folded).alias("high")).first()
+    if r.best is None:
+        raise ValueError("no valid threshold")
+    return r
+
+
 def bonferroni(scanned: DataFrame) -> tuple:
-    rows = _valid(scanned)
-    best = min(rows, key=lambda r: r.log_rank_p)
-    return "bonferroni", best.log_rank_p, min(1.0, best.log_rank_p * len(rows)), best.threshold, len(rows), {}
+    r = _least(scanned)
+    return "bonferroni", r.best.log_rank_p, min(1.0, r.best.log_rank_p * r.k), r.best.threshold, r.k, {}
 
 
 def lausen_schumacher(scanned: DataFrame, least_fraction: float = 0.1) -> tuple:
-    """Davies' bound on the largest standardised statistic between two group fractions, folded to the smaller side. A least p of 0 stays 0, as the bound has no value there."""
-    rows = [(r, f) for r in _valid(scanned) if least_fraction <= (f := r.group0_n / (r.group0_n + r.group1_n)) <= 1 - least_fraction]
-    if not rows:
-        raise ValueError("no threshold leaves such fractions")
-    n = rows[0][0].group0_n + rows[0][0].group1_n
-    folded = [min(f, 1 - f) for _, f in rows]
-    low, high = max(min(folded), 1 / n), max(folded)
-    best = min((r for r, _ in rows), key=lambda r: r.log_rank_p)
+    """Davies' bound on the largest standardised statistic between two group fractions, folded to the smaller side. A least p of 0 stays 0, as the bound has no value there. Without a threshold between the fractions it is an error."""
+    share = F.col("group0_n") / (F.col("group0_n") + F.col("group1_n"))
+    r = _least(scanned.where(share.between(least_fraction, 1 - least_fraction)))
+    low, high, best = max(r.low, 1 / r.n), r.high, r.best
     p = best.log_rank_p
     b = -dist.NORMAL.inv_cdf(p / 2) if 0 < p < 1 else (0.0 if p >= 1 else math.inf)  # from the lower tail, where a small p keeps its digits
     if not math.isfinite(b):
@@ -316,7 +322,7 @@ def lausen_schumacher(scanned: DataFrame, least_fraction: float = 0.1) -> tuple:
         density = dist.NORMAL.pdf(b)
         tail = density * b * ((1 / low - 1 / high) - (1 / (1 - high) - 1 / (1 - low))) / 2
         adjusted = max(p, min(1.0, 4 * density / b + max(0.0, tail)))
-    return "lausen_schumacher", p, adjusted, best.threshold, len(rows), {"b": b, "eps1": low, "eps2": high}
+    return "lausen_schumacher", p, adjusted, best.threshold, r.k, {"b": b, "eps1": low, "eps2": high}
 
 
 def permutation(df: DataFrame, covariate: str, scanned: DataFrame, replicates: int = 1000, seed: int = 42) -> tuple:
