@@ -121,15 +121,26 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def sampled(keys: DataFrame, texts: DataFrame, n: int, most: int | None = None) -> dict:
     """Of keys (y, h), for each y the n least distinct h, or as many as keep all classes together within ``most``; and of texts (h, t) the text of each: lists of UTF-8 by y.
 
-    The least hashes are chosen without the texts; being of bounded number, they then pick them."""
-    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
-    least = written(keys.where("y is not null and h is not null").distinct().withColumn("k", place).where(F.col("k") <= n), "sample")
+    The least hashes are chosen without the texts; being of bounded number, they then pick them. As hashes are even, those
+    below a cut from the size of their class hold the n least, so ranking sees a few n of each class, however many there are;
+    were they not even, and a class short, all are ranked."""
+    keys = written(keys.where("y is not null and h is not null").distinct(), "sample")
+    sizes = keys.groupBy("y").agg(F.count("*").alias("size"))
+    size = {r.y: r["size"] for r in sizes.collect()}  # a row for each class, of which the sample holds a text or more
     if most:
-        n = max(1, min(n, most // max(1, least.select("y").distinct().count())))
-    least = least.where(F.col("k") <= n)
-    text = {r.h: r.t.encode() for r in texts.where("t is not null").join(F.broadcast(least.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")).toLocalIterator()}
+        n = max(1, min(n, most // max(1, len(size))))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+
+    def least(among: DataFrame) -> DataFrame:
+        return written(among.select("y", "h", place.alias("k")).where(F.col("k") <= n), "sample")
+
+    share = F.least(F.lit(1.0), F.lit(4.0 * n + 100) / F.col("size"))
+    chosen = least(keys.join(F.broadcast(sizes), "y").where(F.col("h").cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * share))
+    if chosen.count() < sum(min(n, s) for s in size.values()):
+        chosen = least(keys)
+    text = {r.h: r.t.encode() for r in texts.where("t is not null").join(F.broadcast(chosen.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")).toLocalIterator()}
     out: dict = {}
-    for r in least.orderBy("y", "h").collect():
+    for r in chosen.orderBy("y", "h").collect():
         out.setdefault(r.y, []).append(text[r.h])
     return out
 

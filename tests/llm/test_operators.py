@@ -331,6 +331,17 @@ def test_pretokens_and_merges_match_tiktoken():
         assert got == encoding.encode_ordinary(t), repr(t)
 
 
+@pytest.mark.parametrize("spread", [lambda i: (i * 0x9E3779B97F4A7C15) % 2**64 - 2**63, lambda i: i + 2**62], ids=["even", "uneven"])
+def test_sample_takes_the_least_hashes(spark, spread):
+    rows = [("a" if i % 10 else "b", spread(i), f"t{i}") for i in range(1200)] + [(None, spread(1), "t1"), ("a", None, "none"), ("c", spread(7), "t7"), ("c", spread(7), "t7")]
+    df = spark.createDataFrame(rows, "y string, h long, t string").repartition(40)
+    for n, most in ((3, None), (200, None), (200, 90)):
+        own = min(n, most // 3) if most else n
+        want = {y: [t.encode() for _, t in sorted({(h, t) for k, h, t in rows if k == y and h is not None})[:own]] for y in "abc"}
+        assert common.sampled(df.select("y", "h"), df.select("h", "t"), n, most) == want
+    assert common.sampled(df.where("false").select("y", "h"), df.select("h", "t"), 3) == {}
+
+
 def test_bpe_matches_tiktoken(spark, docs, texts):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
     own = docs.select("doc_id", "text").union(table(spark, ODD, range(9000, 9000 + len(ODD))).select("doc_id", "text"))
