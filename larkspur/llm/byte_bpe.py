@@ -6,11 +6,12 @@ array of the word's bytes, merging in each step the adjacent pieces whose concat
 rank (the leftmost on a tie), until no pair has a rank. Pieces are numbers, their ranks, and the rank
 of a pair's concatenation comes from a literal: all pairs of pieces that make a piece, in a two-choice
 hash table of numbers, so that a lookup is at most two probes. The words' ids go to sorted hash arrays
-in the shared folder, which workers map to put the texts' ids together. Decoding joins the ids'
-pieces; each word is compared with what its ids decode to.
+in the shared folder, which workers map to put the texts' ids together. Decoding joins the pieces of a
+text's ids, without its words; each word is compared with what its ids decode to.
 
-Folding is quadratic in a word's length, so words beyond ``LONG`` bytes (unbroken runs of one kind of
-character) are encoded by the same rule with a heap, in the worker that meets them.
+Folding a pair at a time is quadratic in a word's length, so words beyond ``LONG`` bytes (unbroken runs of
+one kind of character) take in one step all pairs of the lowest rank, the leftmost first, unless a merge
+among them makes a pair of a lower rank; then only the leftmost.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; invalid surrogates cannot
 occur in a Spark string; rows repeat in the result as in the input; other columns are ignored. An id
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import Ids, blocks, bounded_batches, fresh_path, numbered, sums, written
 from larkspur.llm.hashstore import Store, by_shard, put
 
+#: Bytes of a word beyond which all pairs of a rank are merged at once.
 LONG = 1024
 #: Text that a worker encodes at once.
 BLOCK = 6 << 20
@@ -44,6 +46,8 @@ BLOCK = 6 << 20
 MEMO = 800_000
 #: Words of a shard of the dictionary, about.
 SHARD_WORDS = 65_536
+#: Their ids, about, where words are long.
+SHARD_IDS = 16 * SHARD_WORDS
 SEED = 42
 #: Texts whose ids return to the JVM together.
 ROWS_OUT = 512
@@ -223,29 +227,41 @@ class RankLiteral:
 
 
 def folded(word: Column, ranks: RankLiteral) -> Column:
-    """Ids of a binary word of up to LONG bytes, as an array of int."""
-    return ranks.bound(lambda table: _folded(word, table["single"], lambda a, b: ranks.rank(table, a, b), ranks.bits))
+    """Ids of a binary word, as an array of int."""
 
+    def body(table: Column) -> Column:
+        own = _bytes(word, table["single"]), lambda a, b: ranks.rank(table, a, b), ranks.bits
+        return F.when(F.length(word) <= LONG, _folded(word, *own)).otherwise(_waved(word, *own)).cast("array<int>")
 
-def _folded(word: Column, single: Column, rank, bits: int) -> Column:
+    return ranks.bound(body)
+
+
+def _bytes(word: Column, single: Column) -> Column:
+    """The id of each byte."""
+    return F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
+
+
+def _of(state: Column, f) -> Column:
+    """f of a column that is computed once."""
+    return F.get(F.transform(F.array(state), f), F.lit(0))
+
+
+def _state(a: Column) -> Column:
+    return F.struct(a.alias("a"), F.array_min(a).alias("least"))
+
+
+def _folded(word: Column, pieces: Column, rank, bits: int) -> Column:
     """The state holds a number for each piece: the rank of it with the next, its first byte's place and its id; so the least number is the merge that is due."""
     shift = bits + LONG.bit_length()
     place_and_id, id_only = F.lit((1 << shift) - 1).cast("long"), F.lit((1 << bits) - 1).cast("long")
     place, none = F.lit((1 << shift) - (1 << bits)).cast("long"), F.lit(NONE).cast("long")
 
-    def of(state: Column, f) -> Column:
-        """f of a column that is computed once."""
-        return F.get(F.transform(F.array(state), f), F.lit(0))
-
     def item(rank: Column, rest: Column) -> Column:
         return F.shiftleft(rank, shift).bitwiseOR(rest)
 
     def start(p: Column) -> Column:
         return F.transform(p, lambda x, i: item(F.coalesce(rank(x, F.get(p, i + 1)), none), F.shiftleft(i.cast("long"), bits).bitwiseOR(x)))
 
-    def state(a: Column) -> Column:
-        return F.struct(a.alias("a"), F.array_min(a).alias("least"))
-
     def step(s: Column, _: Column) -> Column:
         a, least = s["a"], s["least"]
         new = F.shiftright(least, shift)
@@ -257,13 +273,63 @@ def _folded(word: Column, single: Column, rank, bits: int) -> Column:
                 return item(F.coalesce(rank(x.bitwiseAND(id_only), new), none), x.bitwiseAND(place_and_id))
 
             rest = F.array_remove(a, F.get(a, k + 1))
-            return of(F.transform(rest, lambda x, j: F.when(j == k, here).when(j + 1 == k, before(x)).otherwise(x)), state)
+            return _of(F.transform(rest, lambda x, j: F.when(j == k, here).when(j + 1 == k, before(x)).otherwise(x)), _state)
+
+        return F.when(new == none, s).otherwise(_of(F.array_position(a, least).cast("int") - 1, merged_at))
+
+    out = F.aggregate(F.sequence(F.lit(2), F.length(word)), _of(_of(pieces, start), _state), step, lambda s: F.transform(s["a"], lambda x: x.bitwiseAND(id_only)))
+    return F.when(F.length(word) > 1, out).otherwise(F.slice(pieces, F.lit(1), F.length(word)))
+
+
+def _waved(word: Column, pieces: Column, rank, bits: int) -> Column:
+    """The same of a word of two bytes or more, by as many steps as ranks are merged. The state holds for each piece the rank of it with the next, and its id.
+
+    A merge makes pairs of the new piece alone; while none of them has a lower rank, all pairs of the rank are merged from left to right before any other.
+    Aggregate copies the state in each step, so steps are taken in turns, and a turn is left out once no pair has a rank."""
+    id_only, none = F.lit((1 << bits) - 1).cast("long"), F.lit(NONE).cast("long")
+
+    def item(left: Column, right: Column) -> Column:
+        return F.shiftleft(F.coalesce(rank(left, right), none), bits).bitwiseOR(left)
+
+    def start(p: Column) -> Column:
+        return F.transform(p, lambda x, i: item(x, F.get(p, i + 1)))
+
+    def step(s: Column, _: Column) -> Column:
+        a, new = s["a"], F.shiftright(s["least"], bits)
+
+        def merged_at(marks: Column) -> Column:
+            """marks: 1 where a piece is that takes in the next."""
+
+            def marked(m: Column, i: Column) -> Column:
+                return F.get(m, i) == "1"
+
+            def here(m: Column, i: Column) -> Column:
+                """A pair with the next piece may be there only until that is merged; if it comes first, it is what the item tells."""
+                between = item(new, F.get(a, i + 2).bitwiseAND(id_only))
+                return F.when(marked(m, i + 2) & (between > s["least"]), item(new, new)).otherwise(between)
+
+            def each(m: Column) -> Column:
+                return F.transform(
+                    a,
+                    lambda x, i: F.when(marked(m, i), here(m, i)).when(marked(m, i - 1), F.lit(None)).when(marked(m, i + 1), item(x.bitwiseAND(id_only), new)).otherwise(x),
+                )
+
+            return _of(F.array_compact(_of(F.split(marks, ""), each)), _state)
+
+        due = F.array_join(F.transform(a, lambda x: F.when(F.shiftright(x, bits) == new, "1").otherwise("0")), "")
+
+        def wave(marks: Column) -> Column:
+            first = F.lpad(F.lit("1"), F.instr(marks, "1"), "0")
+            return _of(merged_at(marks), lambda t: F.when(F.shiftright(t["least"], bits) < new, merged_at(first)).otherwise(t))
+
+        return F.when(new == none, s).otherwise(_of(F.replace(due, F.lit("11"), F.lit("10")), wave))
+
+    turns = F.sequence(F.lit(1), F.ceil(F.sqrt(F.length(word))).cast("int"))
 
-        return F.when(new == none, s).otherwise(of(F.array_position(a, least).cast("int") - 1, merged_at))
+    def turn(s: Column, _: Column) -> Column:
+        return F.when(F.shiftright(s["least"], bits) == none, s).otherwise(F.aggregate(turns, s, step))
 
-    pieces = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
-    out = F.aggregate(F.sequence(F.lit(2), F.length(word)), of(of(pieces, start), state), step, lambda s: F.transform(s["a"], lambda x: x.bitwiseAND(id_only)))
-    return F.when(F.length(word) > 1, out).otherwise(F.slice(pieces, F.lit(1), F.length(word))).cast("array<int>")
+    return F.aggregate(turns, _of(_of(pieces, start), _state), turn, lambda s: F.transform(s["a"], lambda x: x.bitwiseAND(id_only)))
 
 
 def dictionary(docs: DataFrame, text_col: str, rank_path: str, pattern: str) -> tuple[str, int]:
@@ -282,14 +348,14 @@ def dictionary(docs: DataFrame, text_col: str, rank_path: str, pattern: str) ->
                 seen, emitted = set(), set()
             seen |= new
             emitted |= words
-            own = [w for w in map(str.encode, words) if len(w) <= LONG and w not in ranks]
+            own = [w for w in map(str.encode, words) if w not in ranks]
             for at in range(0, len(own), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 50_000], pa.binary())], ["word"])
 
     words = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").mapInArrow(distinct, "word binary").distinct()
     coded = written(words.select("word", folded(F.col("word"), RankLiteral(load_ranks(rank_path))).alias("ids")), "bpe-words")
-    n, uri = coded.count(), fresh_path(spark, "bpe")
-    shards = max(1, n // SHARD_WORDS)
+    n, ids = coded.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    uri, shards = fresh_path(spark, "bpe"), max(1, n // SHARD_WORDS, ids // SHARD_IDS)
 
     def keep(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -316,13 +382,14 @@ class Pieces:
         by_id = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             by_id[rank] = piece
-        self.flat, self.size = np.frombuffer(b"".join(by_id), np.uint8), np.array([len(p) for p in by_id], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
+        self.pieces, self.size = pa.array(by_id, pa.large_binary()), np.array([len(p) for p in by_id], np.int64)
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) and (int(ids.max()) >= len(self.size) or not self.size[ids].all()):
+        if not len(ids):
+            return np.empty(0, np.uint8)
+        if int(ids.max()) >= len(self.size) or not self.size[ids].all():
             raise ValueError("an id that the rank file lacks")
-        return gathered(ids, np.array([0]), self.flat, self.offsets)[0]
+        return np.frombuffer(self.pieces.take(pa.array(ids)).buffers()[2], np.uint8)
 
 
 def misread(words: list[bytes], ids: np.ndarray, ends: np.ndarray, pieces: Pieces) -> np.ndarray:
@@ -388,19 +455,16 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
         for block in blocks(batches, "t", BLOCK):
             id_array = block.column("id").combine_chunks()
             if speller is None or len(speller.parts) > MEMO:
-                speller, flat, offsets, back, sizes = Speller(compiled(pattern)), np.empty(0, np.int32), np.zeros(1, np.int64), [], np.empty(0, np.int64)
+                speller, flat, offsets, known = Speller(compiled(pattern)), np.empty(0, np.int32), np.zeros(1, np.int64), 0
                 store.close()
             words, first = speller(texts_of(block))
-            new = [w.encode() for w in islice(speller.words, len(back), None)]
-            ids, ends = looked_up(new, store, shards, ranks, pieces)
-            back += new  # which is what the ids decode to, as looked_up made sure
-            sizes = np.concatenate([sizes, np.fromiter(map(len, new), np.int64, len(new))])
-            flat, offsets = np.concatenate([flat, ids]), np.concatenate([offsets, offsets[-1] + ends[1:]])
-            own, starts = gathered(words, first, flat, offsets)
-            decoded = binaries(b"".join(map(back.__getitem__, words.tolist())), np.concatenate([[0], np.cumsum(sums(sizes[words], first))]))
-            out = pa.RecordBatch.from_arrays([id_array, pa.array(np.diff(starts)), binaries(own.astype("<u4").tobytes(), 4 * starts), decoded], ["id", "n_tokens", "ids", "decoded"])
-            for at in range(0, out.num_rows, ROWS_OUT):
-                yield out.slice(at, ROWS_OUT)
+            ids, ends = looked_up([w.encode() for w in islice(speller.words, known, None)], store, shards, ranks, pieces)
+            flat, offsets, known = np.concatenate([flat, ids]), np.concatenate([offsets, offsets[-1] + ends[1:]]), len(speller.words)
+            for at in range(0, len(id_array), ROWS_OUT):
+                edges = first[at : at + ROWS_OUT + 1]
+                own, starts = gathered(words[edges[0] : edges[-1]], edges - edges[0], flat, offsets)
+                back = binaries(pieces(own), np.concatenate([[0], np.cumsum(pieces.size[own])])[starts])
+                yield pa.RecordBatch.from_arrays([id_array.slice(at, ROWS_OUT), pa.array(np.diff(starts)), binaries(own.astype("<u4"), 4 * starts), back], ["id", "n_tokens", "ids", "decoded"])
 
     bounded_batches(spark)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n_tokens long, ids binary, decoded binary")

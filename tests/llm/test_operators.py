@@ -354,6 +354,44 @@ def test_bpe_matches_tiktoken(spark, docs, texts):
     assert back == {i: t or "" for i, t in texts.items()}
 
 
+def test_bpe_decodes_the_ids_not_the_words(spark, monkeypatch):
+    x, looked_up = byte_bpe.load_ranks(RANKS)[b"x"], byte_bpe.looked_up
+
+    def other(*args):
+        ids, ends = looked_up(*args)
+        return np.full_like(ids, x), ends
+
+    monkeypatch.setattr(byte_bpe, "looked_up", other)
+    rows = byte_bpe.encoded(table(spark, ODD), RANKS, public_tokenizers.PATTERN).collect()
+    assert len(rows) == len(ODD) and all(bytes(r.decoded) == b"x" * r.n_tokens for r in rows)
+
+
+def test_long_words_are_folded_too(spark, monkeypatch):
+    ranks, rnd = byte_bpe.load_ranks(RANKS), random.Random(8)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["a" * 3000, "ab" * 700, "-" * 1025, "".join(rnd.choices("etaoinshr", k=1500)), "".join(chr(rnd.randint(0x4E00, 0x4F00)) for _ in range(600))]
+    from larkspur.llm.hashstore import Store
+
+    uri, shards = byte_bpe.dictionary(table(spark, words), "text", RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "merged", None)
+    ids, ends = byte_bpe.looked_up([w.encode() for w in words], Store(uri), shards, ranks, byte_bpe.Pieces(ranks))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [encoding.encode_ordinary(w) for w in words]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abc"])
+def test_merging_all_pairs_of_a_rank_equals_one_by_one(spark, letters, monkeypatch):
+    """Also where a piece has a lower rank than its parts."""
+    rnd = random.Random(len(letters))
+    word = lambda most: "".join(rnd.choices(letters, k=rnd.randint(2, most))).encode()
+    pieces = sorted({word(5) for _ in range(60)})
+    ranks = {bytes([i]): i for i in range(256)} | {p: 256 + i for i, p in enumerate(rnd.sample(pieces, len(pieces)))}
+    assert any(r < max(a, b) for a, b, r in byte_bpe.pairs(ranks))
+    words = sorted({word(40) for _ in range(300)} - set(ranks))
+    monkeypatch.setattr(byte_bpe, "LONG", 1)
+    got = spark.createDataFrame([(w,) for w in words], "word binary").select("word", byte_bpe.folded(F.col("word"), byte_bpe.RankLiteral(ranks)).alias("ids")).collect()
+    assert len(got) == len(words) and all(r.ids == byte_bpe.merged(bytes(r.word), ranks) for r in got)
+
+
 def test_fingerprints_by_definition(texts):
     for t in [*list(texts.values())[:40], "", "Ab cD", "one two three"]:
         w = t.encode().lower().split()
