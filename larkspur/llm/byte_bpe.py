@@ -41,9 +41,9 @@ from larkspur.llm.hashstore import Store, by_shard, put
 #: Bytes of a word beyond which all pairs of a rank are merged at once.
 LONG = 1024
 #: Text that a worker encodes at once.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 #: Distinct parts of texts that a worker remembers.
-MEMO = 800_000
+MEMO = 300_000
 #: Words of a shard of the dictionary, about.
 SHARD_WORDS = 65_536
 #: Their ids, about, where words are long.

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +90,10 @@ def as_bytes(table: pa.Table, text: str) -> list[bytes]:
 
 
 class Ids(defaultdict):
-    """Numbers what it has not seen from 0 on."""
+    """Numbers what it has not seen from 0 on. It does not refer to itself, so it goes as soon as it is let go and not when all objects are next searched for cycles."""
 
     def __init__(self):
-        super().__init__()
-        self.default_factory = self.__len__
+        super().__init__(count().__next__)
 
 
 def numbered(parts: Iterable[list], ids: Ids | None = None) -> tuple[np.ndarray, np.ndarray, Ids]:

@@ -1,7 +1,9 @@
 import collections
+import gc
 import heapq
 import math
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -392,6 +394,18 @@ def test_merging_all_pairs_of_a_rank_equals_one_by_one(spark, letters, monkeypat
     assert len(got) == len(words) and all(r.ids == byte_bpe.merged(bytes(r.word), ranks) for r in got)
 
 
+def test_a_numbering_goes_when_let_go():
+    ids = common.Ids()
+    assert [ids[x] for x in "abacb"] == [0, 1, 0, 2, 1]
+    seen = weakref.ref(ids)
+    gc.disable()
+    try:
+        del ids
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
 def test_fingerprints_by_definition(texts):
     for t in [*list(texts.values())[:40], "", "Ab cD", "one two three"]:
         w = t.encode().lower().split()
