@@ -35,15 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Ids, blocks, bounded_batches, fresh_path, numbered, sums, written
+from larkspur.llm.common import Ids, blocks, bounded_batches, fresh_path, give_back, numbered, sums, tidy, written
 from larkspur.llm.hashstore import Store, by_shard, put
 
 #: Bytes of a word beyond which all pairs of a rank are merged at once.
 LONG = 1024
-#: Text that a worker encodes at once.
-BLOCK = 3 << 20
-#: Distinct parts of texts that a worker remembers.
-MEMO = 300_000
+#: Text that a worker looks through for words at once, and that it encodes at once.
+BLOCK, BLOCK_ENCODED = 3 << 20, 2 << 20
+#: Distinct parts of texts that a worker remembers, in the same two passes; the second keeps their ids as well.
+MEMO, MEMO_ENCODED = 300_000, 100_000
 #: Words of a shard of the dictionary, about.
 SHARD_WORDS = 65_536
 #: Their ids, about, where words are long.
@@ -352,7 +352,7 @@ def dictionary(docs: DataFrame, text_col: str, rank_path: str, pattern: str) ->
             for at in range(0, len(own), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 50_000], pa.binary())], ["word"])
 
-    words = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").mapInArrow(distinct, "word binary").distinct()
+    words = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").mapInArrow(tidy(distinct), "word binary").distinct()
     coded = written(words.select("word", folded(F.col("word"), RankLiteral(load_ranks(rank_path))).alias("ids")), "bpe-words")
     n, ids = coded.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     uri, shards = fresh_path(spark, "bpe"), max(1, n // SHARD_WORDS, ids // SHARD_IDS)
@@ -452,11 +452,13 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, store = load_ranks(rank_path), Store(uri)
         pieces, speller = Pieces(ranks), None
-        for block in blocks(batches, "t", BLOCK):
+        for block in blocks(batches, "t", BLOCK_ENCODED):
             id_array = block.column("id").combine_chunks()
-            if speller is None or len(speller.parts) > MEMO:
+            if speller is None or len(speller.parts) > MEMO_ENCODED:
+                speller = words = first = ids = ends = None
                 speller, flat, offsets, known = Speller(compiled(pattern)), np.empty(0, np.int32), np.zeros(1, np.int64), 0
                 store.close()
+                give_back()
             words, first = speller(texts_of(block))
             ids, ends = looked_up([w.encode() for w in islice(speller.words, known, None)], store, shards, ranks, pieces)
             flat, offsets, known = np.concatenate([flat, ids]), np.concatenate([offsets, offsets[-1] + ends[1:]]), len(speller.words)
@@ -467,7 +469,7 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([id_array.slice(at, ROWS_OUT), pa.array(np.diff(starts)), binaries(own.astype("<u4"), 4 * starts), back], ["id", "n_tokens", "ids", "decoded"])
 
     bounded_batches(spark)
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, n_tokens long, ids binary, decoded binary")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(run), "id long, n_tokens long, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -6,11 +6,12 @@ Words are runs of bytes other than the six ASCII white-space characters, which i
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, count
 
 import numpy as np
@@ -84,6 +85,26 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def give_back() -> None:
+    """Gives what is free but kept by Arrow and the C library back to the system, if the library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back before and after. A worker outlives its task, and else keeps about the most that any of its tasks has needed."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 def as_bytes(table: pa.Table, text: str) -> list[bytes]:
     """UTF-8 of each text; a null is empty."""
     return [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]

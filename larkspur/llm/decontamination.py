@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Ids, as_bytes, blocks, bounded_batches, fresh_path, numbered
+from larkspur.llm.common import Ids, as_bytes, blocks, bounded_batches, fresh_path, numbered, tidy
 from larkspur.llm.hashstore import Store, put
 
 K1, B = 1.2, 0.75
@@ -337,5 +337,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
                 yield from block.filter(clean).to_batches()
 
         bounded_batches(docs.sparkSession)
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs

@@ -2,9 +2,13 @@ import collections
 import gc
 import heapq
 import math
+import os
 import random
+import subprocess
+import sys
 import weakref
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +16,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
@@ -406,6 +411,43 @@ def test_a_numbering_goes_when_let_go():
         gc.enable()
 
 
+#: Runs a task's function as a worker does, first on few rows and then on many, and prints the MB that stay after the second.
+WORKER = """
+import pickle, re, sys
+f, few, many = pickle.load(sys.stdin.buffer)
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+for b in f(iter([few])):
+    pass
+before = mb()
+for b in f(iter([many])):
+    pass
+del b
+print(mb() - before)
+"""
+
+
+def stays(f, few: pa.RecordBatch, many: pa.RecordBatch) -> float:
+    root = Path(__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", WORKER], input=cloudpickle.dumps((f, few, many)), capture_output=True, check=True, timeout=120, cwd=root, env=os.environ | {"PYTHONPATH": str(root)})
+    return float(out.stdout)
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_tasks_give_memory_back(spark, monkeypatch):
+    """A worker goes on to the next stage's tasks, so what it keeps counts there."""
+    found, frame = [], type(table(spark, ["a"]))
+    map_in_arrow = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *args: found.append(f) or map_in_arrow(self, f, *args))
+    byte_bpe.encoded(table(spark, ["a"]), RANKS, public_tokenizers.PATTERN)
+    decontamination.decontaminated(table(spark, ["a"]), spark.createDataFrame([(1, "same text here.")], "item_id long, text string"), text_col="t")
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choices("etaoinshrdlu", k=rnd.randint(3, 9))) for _ in range(200)) for _ in range(1500)]
+    few, many = (pa.RecordBatch.from_pydict({"id": [*range(len(t))], "t": t}) for t in (texts[:1], texts))
+    kept = [stays(f, few, many) for f in found]
+    assert len(kept) == 3 and max(kept) < 20, kept
+
+
 def test_fingerprints_by_definition(texts):
     for t in [*list(texts.values())[:40], "", "Ab cD", "one two three"]:
         w = t.encode().lower().split()
