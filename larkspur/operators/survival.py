@@ -336,6 +336,17 @@ def cox_fit(d: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[np.ndarray,
     return beta, np.linalg.pinv(information), value, False
 
 
+def cox_cells(e: np.ndarray, d1: np.ndarray, n1: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over a time's tied events of the second side's share of the risk, and of its square, at the hazard ratio e; elementwise, for times with events."""
+    risk, events = n + n1 * (e - 1), d + d1 * (e - 1)
+    scale = d / events
+    _, first, second = tied_sums(np.maximum(scale * risk - d + 1, 1.0), np.broadcast_to(d, risk.shape), logs=False)
+    fixed = d1 * e / events
+    moved = (n1 * e - fixed * risk) * scale
+    kept, shifted = d * fixed, moved * first
+    return kept + shifted, fixed * (kept + 2 * shifted) + moved * moved * second
+
+
 def cox_many(d1: np.ndarray, n1: np.ndarray, d: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """``cox_fit`` of many splits of the same subjects at once: log hazard ratio of the second side against the first, and its standard error.
 
@@ -346,17 +357,9 @@ def cox_many(d1: np.ndarray, n1: np.ndarray, d: np.ndarray, n: np.ndarray, steps
 
     def at(b: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and information."""
-        e = np.exp(b)[:, None]
         some_d, some_n = (d1, n1) if len(rows) == len(d1) else (d1[rows], n1[rows])
-        risk, events = n + some_n * (e - 1), d + some_d * (e - 1)
-        scale = d / events
-        _, first, second = tied_sums(np.maximum(scale * risk - d + 1, 1.0), np.broadcast_to(d, risk.shape), logs=False)
-        fixed = some_d * e / events
-        moved = (some_n * e - fixed * risk) * scale
-        kept, shifted = d * fixed, moved * first
-        squares = fixed * (kept + 2 * shifted) + moved * moved * second
-        p = (kept + shifted).sum(axis=1)
-        return own[rows] - p, p - squares.sum(axis=1)
+        p, squares = (c.sum(axis=1) for c in cox_cells(np.exp(b)[:, None], some_d, some_n, d, n))
+        return own[rows] - p, p - squares
 
     gradient, information = at(beta, open_)
     spread = information.copy()

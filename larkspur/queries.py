@@ -406,9 +406,8 @@ def cutpoint_logrank_scan(spark, sf_dir):
     return rounded(cutpoint.scan(cohort(spark, sf_dir), "x", CUTS).select("threshold", "group0_n", "chi2"))
 
 
-def _scan(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    surv = cohort(spark, sf_dir)
-    return surv, cutpoint.scan(surv, "x")
+def _scan(spark, sf_dir) -> tuple[DataFrame, float | None]:
+    return cutpoint.scan_and_median(cohort(spark, sf_dir), "x")
 
 
 def _whole(t: str) -> str:
@@ -425,29 +424,27 @@ def _whole(t: str) -> str:
   SELECT threshold, valid_split, group0_n, group1_n, CASE WHEN valid_split THEN round(u * u / v, 5) END AS chi2 FROM f""")
 def cutpoint_scan_observed(spark, sf_dir):
     chi2 = F.when(F.col("valid_split"), F.round("chi2", 5))
-    return _scan(spark, sf_dir)[1].select("threshold", "valid_split", "group0_n", "group1_n", chi2.alias("chi2"))
+    return _scan(spark, sf_dir)[0].select("threshold", "valid_split", "group0_n", "group1_n", chi2.alias("chi2"))
 
 
 @query()
 def cutpoint_scan(spark, sf_dir):
-    return rounded(_scan(spark, sf_dir)[1])
+    return rounded(_scan(spark, sf_dir)[0])
 
 
 @query()
 def cutpoint_markers(spark, sf_dir):
-    surv, scanned = _scan(spark, sf_dir)
-    return cutpoint.markers(scanned, cutpoint.median(surv, "x"))
+    return cutpoint.markers(*_scan(spark, sf_dir))
 
 
 @query()
 def cutpoint_marked_tests(spark, sf_dir):
-    surv, scanned = _scan(spark, sf_dir)
-    return rounded(cutpoint.marked_tests(scanned, cutpoint.markers(scanned, cutpoint.median(surv, "x"))))
+    return rounded(cutpoint.marked_rows(*_scan(spark, sf_dir)))
 
 
 @query()
 def cutpoint_best(spark, sf_dir):
-    return rounded(cutpoint.best_threshold(_scan(spark, sf_dir)[1]))
+    return rounded(cutpoint.best_threshold(_scan(spark, sf_dir)[0]))
 
 
 @query()
@@ -592,7 +589,7 @@ def selected_summaries(spark, sf_dir):
 
 @query()
 def scan_curves(spark, sf_dir):
-    return rounded(plotdata.scan_curves(_scan(spark, sf_dir)[1]))
+    return rounded(plotdata.scan_curves(_scan(spark, sf_dir)[0]))
 
 
 @query()

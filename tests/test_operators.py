@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,32 @@ def test_scan_of_all_observed_values(spark, monkeypatch):
     assert cutpoint.marked_curves(df, "x", marks).select("label", "group").distinct().count() == 2
 
 
+def scanned_blocks(effect, seed=5, size=4000, weight=1.0):
+    """Rows of a scan of one block over many times, and the number of splits fitted over all times."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.uniform(0, 1, size), 5)
+    time = np.ceil(rng.exponential(300 * np.exp(effect * x)))
+    event = (rng.random(size) < 0.4).astype(float)
+    rows = pd.DataFrame({"cut": x, "time": time, "d": event * weight, "m": weight}).groupby(["cut", "time"], as_index=False).sum()
+    base = rows.groupby("time", as_index=False)[["d", "m"]].sum().rename(columns={"d": "all_d", "m": "all_m"}).assign(d=0.0, m=0.0)
+    fitted, fit = [], cutpoint.cox_many
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(cutpoint, "cox_many", lambda d1, *rest: (fitted.append(len(d1)), fit(d1, *rest))[1])
+        return cutpoint._comparisons(1.96)(rows, base), sum(fitted)
+
+
+@pytest.mark.parametrize("effect,weight", [(0.0, 1.0), (1.5, 1.0), (-1.5, 1.0), (0.3, 60.0)])
+def test_successive_thresholds_share_their_work_and_keep_their_results(monkeypatch, effect, weight):
+    got, fitted = scanned_blocks(effect, weight=weight)
+    assert fitted < len(got) / 2
+    monkeypatch.setattr(cutpoint, "FEW", 1 << 60)
+    want, whole = scanned_blocks(effect, weight=weight)
+    assert whole > len(want) * 0.9
+    exact = [c for c in want if c not in ("chi2", "log_rank_p", "hr", "ci_low", "ci_high", "cox_p")]
+    pd.testing.assert_frame_equal(got[exact], want[exact], check_exact=True)
+    pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-8, atol=1e-9)
+
+
 def test_a_median_between_values_is_a_threshold(spark):
     df = spark.createDataFrame([(float(i + 1), i % 2 == 0, float(x)) for i, x in enumerate((1, 1, 2, 4, 9, 9))], "time double, event boolean, x double")
     assert [(r.threshold, r.group0_n) for r in cutpoint.scan(df, "x").orderBy("threshold").collect()] == [(1.0, 2), (2.0, 3), (3.0, 3), (4.0, 4)]
