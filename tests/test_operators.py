@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import queries
 from larkspur.operators import curate, cutpoint, describe, normality, plotdata, profile, ranks, relational, survival, tables
 
 
@@ -259,6 +260,21 @@ def test_successive_thresholds_share_their_work_and_keep_their_results(monkeypat
     pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-8, atol=1e-9)
 
 
+def test_marked_rows_are_those_of_the_markers(spark):
+    schema = "threshold double, valid_split boolean, cox_p double, chi2 double"
+    for p in (0.01, 0.2):
+        scanned = spark.createDataFrame([(1.0, True, p, 5.0), (2.0, True, 0.6, 1.0), (3.0, False, None, None), (5.0, True, 0.3, 2.0)], schema)
+        want = cutpoint.marked_tests(scanned, cutpoint.markers(scanned, 2.9))
+        got = cutpoint.marked_rows(scanned, 2.9)
+        assert got.columns == want.columns and sorted(rows(got), key=str) == sorted(rows(want), key=str) and got.count() == (3 if p < 0.05 else 2)
+
+
+@pytest.mark.parametrize("name", ["cutpoint_marked_tests"])
+def test_a_query_scans_once_and_reads_no_table_again(spark, sf, name):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1 and "FileScan" not in plan
+
+
 def test_a_median_between_values_is_a_threshold(spark):
     df = spark.createDataFrame([(float(i + 1), i % 2 == 0, float(x)) for i, x in enumerate((1, 1, 2, 4, 9, 9))], "time double, event boolean, x double")
     assert [(r.threshold, r.group0_n) for r in cutpoint.scan(df, "x").orderBy("threshold").collect()] == [(1.0, 2), (2.0, 3), (3.0, 3), (4.0, 4)]
