@@ -269,7 +269,7 @@ def test_marked_rows_are_those_of_the_markers(spark):
         assert got.columns == want.columns and sorted(rows(got), key=str) == sorted(rows(want), key=str) and got.count() == (3 if p < 0.05 else 2)
 
 
-@pytest.mark.parametrize("name", ["cutpoint_marked_tests", "cutpoint_markers", "cutpoint_best", "cutpoint_scan_observed"])
+@pytest.mark.parametrize("name", ["cutpoint_marked_tests", "cutpoint_markers", "cutpoint_best", "cutpoint_scan_observed", "scan_curves"])
 def test_a_query_scans_once_and_reads_no_table_again(spark, sf, name):
     plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapCoGroupsInPandas") == 1 and "FileScan" not in plan
